@@ -8,13 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, warc, winnowing
+from . import bpe, licenses, lines, packing, quality, secrets, warc, winnowing
 from .shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PACKED = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("places")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir), carry=["doc_id"])
+    return judged.select("row.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("all")).alias("spans"), "n_live", "n_copied")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.decode(bpe.encode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN), RANKS)
     return done.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -33,9 +53,43 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op8_secrets": op8_secrets, "op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op10_warc": op10_warc}
+
+#: White space that ends a word, as a class of DuckDB's patterns.
+_SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality": rf"""
+with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
+w as (select doc_id, host, text, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') as words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '') as lines from d),
+win as (select doc_id, i, list_slice(words, i, i + 4) as k from w, unnest(generate_series(1, len(words) - 4)) as u(i)),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, k) as n from win) where n > 1),
+cov as (select doc_id, count(distinct i + j) as n_repeat_words from rep, unnest([0, 1, 2, 3, 4]) as u(j) group by doc_id),
+m as (select doc_id, host, len(words) as n_words, length(regexp_replace(text, '{_SPACE}', '', 'g')) as word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) as n_lines,
+             len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+      from w left join cov using (doc_id)),
+j as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+             (word_chars < 2 * n_words or word_chars > 16 * n_words)::int + (10 * n_symbols > n_words)::int + (100 * n_dup_lines > 30 * n_lines)::int as others from m),
+h as (select host, count(*) as n, sum((base_failed or others > 0)::int) as bad from j group by host),
+p as (select avg(bad / n) as a, var_pop(bad / n) as v from h),
+s as (select a, case when a = 0 or a >= 1 then null when v = 0 then 1000 else least(1000, greatest(1, a * (1 - a) / v - 1)) end as size from p),
+b as (select host from h, s where (bad + coalesce(a * size, 1)) / (n + coalesce(size, 2)) > 0.5)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not (base_failed or others >= 2 or (others >= 1 and host in (select host from b))) as kept
+from j
+""",
+    "op3_lines": rf"""
+with d as (select doc_id, string_split(text, chr(10)) as l from documents),
+w as (select doc_id, i, list_slice(l, i, i + 2) as k from d, unnest(generate_series(1, len(l) - 2)) as u(i)),
+r as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from w
+      where regexp_replace(array_to_string(k, ''), '{_SPACE}', '', 'g') <> '') where n > 1),
+c as (select doc_id, list(distinct i + j) as gone from r, unnest([0, 1, 2]) as u(j) group by doc_id)
+select doc_id, coalesce(len(l), 0) as n_lines, coalesce(len(gone), 0) as n_removed,
+       sha256(coalesce(array_to_string(list_filter(l, lambda x, i: gone is null or not list_contains(gone, i)), chr(10)), '')) as kept_sha256
+from d left join c using (doc_id)
+""",
     "op10_warc": """
 with p as (select page_id, coalesce(html, '') as html, encode(coalesce(html, '')) as payload from pages),
 b as (select html, max(page_id) as best from p where octet_length(payload) >= 1000 group by html)
