@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, packing, quality, secrets, warc, winnowing
+from . import bpe, licenses, lines, packing, quality, secrets, substrings, warc, winnowing
 from .shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("all")).alias("spans"), "n_live", "n_copied")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir), texts=False)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.decode(bpe.encode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN), RANKS)
     return done.select("doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -53,12 +57,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op8_secrets": op8_secrets, "op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op8_secrets": op8_secrets, "op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op10_warc": op10_warc}
 
 #: White space that ends a word, as a class of DuckDB's patterns.
 _SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": rf"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') as w from documents),
+win as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as k from d, unnest(generate_series(1, len(w) - 34)) as u(i)),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as n from win) where n > 1),
+cov as (select distinct doc_id, i + j as pos from rep, unnest(generate_series(0, 34)) as u(j)),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as text from words anti join cov using (doc_id, pos) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from d left join kept using (doc_id)
+""",
     "op2_quality": rf"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
 w as (select doc_id, host, text, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') as words,
