@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, packing, quality, secrets, substrings, warc, winnowing
+from . import bpe, jaccard, licenses, lines, packing, quality, secrets, substrings, warc, winnowing
 from .shared import documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,16 +53,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op8_secrets": op8_secrets, "op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op8_secrets": op8_secrets, "op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op9_jaccard": op9_jaccard, "op10_warc": op10_warc}
 
 #: White space that ends a word, as a class of DuckDB's patterns.
 _SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard": rf"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, case when len(w) < 3 then w else list_slice(w, i, i + 2) end as g from d, unnest(generate_series(1, greatest(len(w) - 2, 1))) as u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n, md5(string_agg(array_to_string(g, ' '), chr(10) order by array_to_string(g, ' '))) as k from s group by doc_id),
+r as (select k, min(doc_id) as rep, any_value(n) as n from n group by k),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+      where a.doc_id in (select rep from r) and b.doc_id in (select rep from r) group by 1, 2),
+l as (select a, b from p join r x on x.rep = a join r y on y.rep = b where 100 * c >= 90 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+reach as (select rep as a, rep as b from r union select reach.a, e.b from reach join e on reach.b = e.a),
+least as (select a as rep, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n.n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id
+from d left join n using (doc_id) left join r on r.k = n.k left join least on least.rep = r.rep
+""",
     "op4_substrings": rf"""
 with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') as w from documents),
 win as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as k from d, unnest(generate_series(1, len(w) - 34)) as u(i)),

@@ -41,8 +41,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, start, end (in the bytes of all texts) and row of every word, without a loop over words."""
+def word_table(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, start, end (in the bytes of all texts) and row of every word, without a loop over words. fold: A to Z as a to z."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -57,7 +57,10 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     last = offsets[1:][offsets[1:] > 0] - 1
     stops[last] = solid[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    values = mixed(np.arange(1, 257, dtype=np.uint64) * P)[data]
+    table = mixed(np.arange(1, 257, dtype=np.uint64) * P)
+    if fold:
+        table[65:91] = table[97:123]
+    values = table[data]
     sums = np.concatenate([np.zeros(1, U), np.cumsum(values * powers(P, len(data)), dtype=np.uint64)])
     # a word's polynomial, moved to begin at power 0
     h = (sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start]
