@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,7 +32,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.maskloom_path = path
+    return table
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more, and lets Spark drop the shuffle files of finished jobs."""
+    jvm = spark._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.maskloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # Spark removes a shuffle's files once the driver's garbage collector has found the plan unused
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -9,8 +9,9 @@ other place of the window too.
 A window of WIDTH words is revealed by one such symbol, its anchor (the smallest hash, the rightmost on ties); neighbouring
 windows mostly share it. An anchor's windows in a row make a block, a row of the table of blocks: anchor, block (the hash of
 its words), place. A window repeats only if its anchor stands at two places. If all its places have one block, the whole block
-repeats. Otherwise the windows of each different block, not of each copy, are counted by their own hashes. Windows without an
-anchor (periodic texts) are their own anchor. Names and hashes have 64 bits and are compared in pairs, thus by 128 bits.
+repeats. Otherwise the windows of each different block, not of each copy, are looked at: first GROUP windows in a row by the
+words that they all hold, since a window can't repeat where those don't; then what is left by the windows' own hashes.
+Windows without an anchor (periodic texts) are their own anchor. Names and hashes have 64 bits and are compared in pairs, thus by 128 bits.
 
 All words of windows that stand in two places are removed, also at the first. Null texts have no words. Other columns are ignored.
 """
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, small_batches
+from .shared import cut, discard, small_batches
 from .winnowing import mixed
 
-WIDTH, ROUNDS = 35, 3
+WIDTH, ROUNDS, GROUP = 35, 3, 5
 P = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
 U = np.uint64
@@ -211,21 +212,39 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             row, anchor, block, first, last, inside = blocks(Texts(b.column(1)), width, rounds)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, (anchor, block)), *(pa.array(x.astype(np.int32)) for x in (first, last, inside))], ["row", "anchor", "block", "first", "last", "inside"])
 
+    group = min(GROUP, width)
+
+    def listed(b: pa.RecordBatch) -> tuple[Texts, np.ndarray, list[np.ndarray]]:
+        """Texts; of each range of windows in the list that came with a text: its row in the batch, anchor, n, first, last, at."""
+        return Texts(b.column(1)), np.repeat(np.arange(len(b)), np.diff(b.column(2).offsets.to_numpy())), [b.column(2).flatten().field(i).to_numpy().astype(np.int64) for i in range(5)]
+
+    def repeated(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each of a's indices n times, and the numbers from 0 within them."""
+        which = np.repeat(np.arange(len(a)), n)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t, of, (anchor, n, first, last, at) = listed(b)
+            low, high = (at - last) // group, (at - first) // group
+            which, k = repeated(low, high - low + 1)
+            g, of, p = low[which] + k, of[which], at[which]
+            a = np.maximum(first[which], p - g * group - group + 1)
+            z = np.minimum(last[which], p - g * group)
+            core = t.hashes(p - g * group + t.base[of], p - g * group - group + 1 + width + t.base[of])
+            cols = [b.column(0).take(pa.array(of)), pa.array(anchor[which]), *(pa.array(x.astype(np.int32)) for x in (g, a, z, p)), pa.array(core.view(np.int64)), pa.array(n[which])]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "anchor", "g", "first", "last", "at", "core", "n"])
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = Texts(b.column(1))
-            found = b.column(2)
-            of = np.repeat(np.arange(len(b)), np.diff(found.offsets.to_numpy()))
-            anchor, n, first, last, inside = (found.flatten().field(i).to_numpy() for i in range(5))
-            size = (last - first + 1).astype(np.int64)
-            which = np.repeat(np.arange(len(size)), size)
-            start = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
-            at = start + t.base[of[which]]
-            place = (inside[which] - (start - first[which])).astype(np.int64)  # of the anchor in the window
-            key = mixed(anchor[which].view(np.uint64) + place.astype(np.uint64) * P)
-            for a in range(0, len(at), 100_000):
+            t, of, (anchor, n, first, last, at) = listed(b)
+            which, k = repeated(first, last - first + 1)
+            start, of = first[which] + k, of[which]
+            key = mixed(anchor[which].view(np.uint64) + (at[which] - start).astype(np.uint64) * P)
+            window = t.hashes(start + t.base[of], start + t.base[of] + width)
+            for a in range(0, len(start), 100_000):
                 s = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[which[s]])), pa.array(key[s].view(np.int64)), pa.array(t.hashes(at[s], at[s] + width).view(np.int64)), pa.array(n[which[s]]), pa.array(start[s].astype(np.int32))], ["row", "key", "window", "n", "start"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[s])), pa.array(key[s].view(np.int64)), pa.array(window[s].view(np.int64)), pa.array(n[which[s]]), pa.array(start[s].astype(np.int32))], ["row", "key", "window", "n", "start"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,17 +257,28 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     stats = table.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("differ")).where("n > 1")
     stats = cut(stats.select("anchor", "differ"), "anchors")
     shared = cut(table.join(stats, "anchor"), "shared")
-    span = F.struct(F.col("first").alias("a"), (F.col("last") + width).alias("b")).alias("s")
-    alike = shared.where("not differ").select("row", span)
+    discard(spark, table, stats)
+    span = lambda a, b: F.struct(F.col(a).alias("a"), (F.col(b) + width).alias("b")).alias("s")
+    alike = shared.where("not differ").select("row", span("first", "last"))
     # each different block once, at its first place, with its number of copies
-    pick = F.min(F.struct("row", "first", "last", "inside")).alias("at")
+    pick = F.min(F.struct("row", "first", "last", "inside")).alias("x")
     kinds = cut(shared.where("differ").groupBy("anchor", "block").agg(F.count("*").alias("n"), pick), "kinds")
-    copied = shared.where("differ").join(kinds.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("row", span)
-    wanted = kinds.select("at.row", F.struct("anchor", "n", "at.first", "at.last", "at.inside").alias("k")).groupBy("row").agg(F.collect_list("k").alias("k"))
-    rows = base.select("row", "text").join(wanted, "row").mapInArrow(hashed, "row long, key long, window long, n long, start int")
-    rows = cut(rows, "windows")
+    copied = shared.where("differ").join(kinds.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("row", span("first", "last"))
+    # both steps bring ranges of windows to their texts as lists by row
+    listing = F.collect_list(F.struct("anchor", "n", "first", "last", "at")).alias("k")
+    with_texts = lambda ranges: base.select("row", "text").join(ranges.groupBy("row").agg(listing), "row")
+    ranges = kinds.select("anchor", "n", "x.row", "x.first", "x.last", (F.col("x.first") + F.col("x.inside")).alias("at"))
+    groups = cut(with_texts(ranges).mapInArrow(cores, "row long, anchor long, g int, first int, last int, at int, core long, n long"), "groups")
+    discard(spark)
+    twice = groups.groupBy("anchor", "g", "core").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
+    left = cut(groups.join(cut(twice, "cores"), ["anchor", "g", "core"], "left_semi").select("row", "anchor", "n", "first", "last", "at"), "left")
+    discard(spark, groups)
+    rows = cut(with_texts(left).mapInArrow(hashed, "row long, key long, window long, n long, start int"), "windows")
+    discard(spark, left)
     again = cut(rows.groupBy("key", "window").agg(F.sum("n").alias("n")).where("n > 1").select("key", "window"), "repeated")
-    single = rows.where("n = 1").join(again, ["key", "window"], "left_semi").select("row", F.struct(F.col("start").alias("a"), (F.col("start") + width).alias("b")).alias("s"))
-    spans = alike.unionByName(copied).unionByName(single).groupBy("row").agg(F.collect_list("s").alias("s"))
+    discard(spark)
+    single = rows.where("n = 1").join(again, ["key", "window"], "left_semi").select("row", span("start", "start"))
+    spans = cut(alike.unionByName(copied).unionByName(single).groupBy("row").agg(F.collect_list("s").alias("s")), "spans")
+    discard(spark, rows, again, shared, kinds)
     done = base.join(spans, "row", "left").select("row", "doc_id", "text", "s").mapInArrow(strip, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, text string")
     return done if texts else done.drop("text")
