@@ -7,10 +7,12 @@ A text of fewer than k code points is one gram; of fewer than w hashes, the smal
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,22 +113,27 @@ FIELDS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerp
 def with_next(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document against its edited text and against the next document by ascending id; after the last comes the first.
 
-    Null ids come first; rows of one id follow each other by text. A null text counts as empty. A document alone is its own
-    next. Texts are dealt out by ranges of ids and sorted; a task goes through its range once, holding two texts. The last
-    of each range waits for the first of the next range: these rows, one a partition, are completed afterwards.
+    Null ids come first; rows of one id follow each other by a hash of their text. A null text counts as empty. A document
+    alone is its own next. Texts, each compressed, are dealt out by ranges of ids and sorted; a task goes through its range
+    once, holding two texts. The last of each range waits for the first of the next range: these rows, one a partition, are
+    completed afterwards.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def row(text: str, fp: tuple, following: str, next_fp: tuple) -> tuple:
-        import hashlib
-
         new = edited(text, following)
         new_fp = fingerprint(new, k, w)
         return len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(fp), as_text(new_fp), likeness(fp, new_fp), likeness(fp, next_fp)
 
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([coder.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["doc_id", "hash", "squeezed"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = zstandard.ZstdDecompressor()
         part, last, schema = TaskContext.get().partitionId(), None, None
 
         def out(ids: list, rows: list[tuple], edge: bool, first: str | None = None, text: str | None = None) -> pa.RecordBatch:
@@ -138,7 +145,8 @@ def with_next(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", t
         begin = None
         for b in batches:
             schema, ids, rows = b.schema.field(0).type, [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, t in zip(b.column(0).to_pylist(), b.column(2)):
+                t = decoder.decompress(t.as_py()).decode()
                 fp = fingerprint(t, k, w)
                 if last is None:
                     begin = t
@@ -152,7 +160,8 @@ def with_next(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", t
             yield out([last[0]], [], True, begin, last[1])
 
     names = [x.split()[0] for x in FIELDS.split(", ")]
-    dealt = base.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    small = base.withColumn("hash", F.xxhash64("text")).mapInArrow(squeezed, f"doc_id {kind}, hash long, squeezed binary")
+    dealt = small.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
     table = cut(dealt.mapInArrow(run, f"doc_id {kind}, {FIELDS}, part int, first string, text string"), "ranges")
     edges = table.where("part is not null")
     parts = sorted(r["part"] for r in edges.select("part").collect())  # a number per partition that has rows
