@@ -47,7 +47,7 @@ def once(value: Column) -> Column:
 
     Without this a filter on a result would be rewritten over its whole history, with every step copied for each use of it.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.rand(0) + F.rand(1) >= 0, value)  # one rand compared with a literal would be folded
 
 
 def one_of(c: Column, words: list[str] | tuple[str, ...]) -> Column:
