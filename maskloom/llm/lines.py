@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, cut, let
+from .shared import SPACE, cut, discard, let
 
 WIDTH = 3
 
@@ -33,11 +33,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     Windows go to a table; first places come from a partial minimum by window, so a window that stands in a third of all
     documents costs each task one row. Only windows that repeat are joined back, as tables whose skewed keys Spark splits.
     """
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = cut(base.withColumn("place", F.monotonically_increasing_id()), "documents")
+    base = cut(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("place")), "documents")
+    base = base.select("row", "place", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"))
     found = base.select(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.xxhash64("text").alias("hash"), F.col("place")).alias("doc"), F.explode(let(F.split("text", "\n", -1), lambda x: windows(x, width))).alias("w"))
     found = cut(found.select("w.key", "doc", F.col("w.at").alias("at")), "windows")
     repeated = cut(found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1").drop("n"), "repeated")
+    discard(docs.sparkSession)
     later = found.join(repeated, "key").where(F.struct("doc", "at") != F.col("first")).select("doc.place", "at")
     covered = later.groupBy("place").agg(F.collect_list("at").alias("at"))  # at most a document's lines
 
