@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, small_batches
+from .shared import cut, discard, small_batches
 from .substrings import P, U, word_table
 from .winnowing import mixed
 
@@ -123,10 +123,28 @@ def verified(pairs: DataFrame, base: DataFrame, k: int, num: int, den: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32()))], ["a", "b"])
 
     pairs = cut(pairs.select("a", "b"), "pairs")
-    text = base.select(F.col("row"), F.col("text"))
+    discard(base.sparkSession)
+    rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    text = cut(base.select("row", "text").join(rows, "row", "left_semi"), "candidates")
+    discard(base.sparkSession)
     one = pairs.join(text.withColumnsRenamed({"row": "a", "text": "text_a"}), "a")
     two = one.join(text.withColumnsRenamed({"row": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return cut(two.mapInArrow(run, "a long, b long"), "links")
+    links = cut(two.mapInArrow(run, "a long, b long"), "links")
+    discard(base.sparkSession, pairs, text)
+    return links
+
+
+def enough(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Of rows a, na, ma, b, nb, mb (nodes, sizes, needs), one per shared prefix shingle: the pairs that share enough of them.
+
+    What two sets share stands in both prefixes or in the suffix of the one whose prefix ends first. A suffix has the least
+    overlap less the need, so the overlap that linking takes, less the longer suffix, must be shared within the prefixes.
+    """
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("na", "nb", "ma", "mb")))
+    ceil = lambda x, y: F.expr(f"({x} + {y} - 1) div {y}")
+    both = ceil(f"(na + nb) * {num}", num + den)
+    suffix = lambda n, m: ceil(f"{n} * {num}", den) - F.col(m)
+    return counted.where((F.col("c") >= F.least("ma", "mb")) & (F.col("c") >= both - F.greatest(suffix("na", "ma"), suffix("nb", "mb")))).select("a", "b")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -136,9 +154,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """row: a number; doc_id, text; and with carry whole: a struct of all input columns, which the others are read from."""
     small_batches(docs.sparkSession)
-    more = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")] if carry else []
-    return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more), "texts")
+    number = F.monotonically_increasing_id().alias("row")
+    if carry:
+        table = cut(docs.select(number, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")), "texts")
+        of = lambda c: F.col("whole").getField(c)
+        return table.select("row", of(id_col).alias("doc_id"), F.coalesce(of(text_col), F.lit("")).alias("text"), "whole")
+    return cut(docs.select(number, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "texts")
 
 
 def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -161,19 +184,22 @@ def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["token", "node", "n", "need"])
 
     texts = base.select("row", "text").join(nodes.select(F.col("node").alias("row"), size), "row").select("row", "text", "n")
-    postings = cut(texts.mapInArrow(prefixes, "token long, node long, n long, need int"), "postings")
-    several = cut(postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
-    postings = cut(postings.join(several, "token"), "shared")
+    every = cut(texts.mapInArrow(prefixes, "token long, node long, n long, need int"), "postings")
+    discard(base.sparkSession)
+    several = cut(every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
+    postings = cut(every.join(several, "token"), "shared")
+    discard(base.sparkSession, every, several)
 
     fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
     links, roots = None, None
     for r in range(PIVOT_ROUNDS):
         now = with_component(postings, roots)
-        mark = F.struct(F.xxhash64("node", F.lit(r)), "node", "component", "n")
+        mark = F.struct(F.xxhash64("node", F.lit(r)), "node", "component", "n", "need")
         pivots = now.groupBy("token").agg(F.min(mark).alias("p"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
-        pivots = cut(pivots.select("token", F.col("p.node").alias("a"), F.col("p.component").alias("c"), F.col("p.n").alias("m")), "pivots")
-        pairs = now.join(pivots, "token").where((F.col("component") != F.col("c")) & fits(F.col("n"), F.col("m"))).select("a", F.col("node").alias("b")).distinct()
-        new = verified(pairs, base, k, num, den)
+        pivots = cut(pivots.select("token", F.col("p.node").alias("a"), F.col("p.component").alias("c"), F.col("p.n").alias("na"), F.col("p.need").alias("ma")), "pivots")
+        pairs = now.join(pivots, "token").where((F.col("component") != F.col("c")) & fits(F.col("n"), F.col("na")))
+        pairs = pairs.select("a", "na", "ma", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("mb"))
+        new = verified(enough(pairs, num, den), base, k, num, den)
         links = new if links is None else links.unionByName(new)
         roots = cut(components(links), "roots")
     # all candidates between components: of each shingle, nodes outside its largest component against all of its nodes
@@ -184,8 +210,10 @@ def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     outside = mixed_tokens.where("component <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("need").alias("ma"), F.col("component").alias("ca"))
     inside = mixed_tokens.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("need").alias("mb"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("big"))
     both = outside.join(inside, "token").where((F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")))
-    enough = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ma", "mb").alias("need")).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
-    links = links.unionByName(verified(enough, base, k, num, den))
+    swap = F.col("a") > F.col("b")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    pairs = both.select(*(c for x in ("", "n", "m") for c in (either(f"{x}a", f"{x}b").alias(f"{x}a"), either(f"{x}b", f"{x}a").alias(f"{x}b"))))
+    links = links.unionByName(verified(enough(pairs, num, den), base, k, num, den))
     roots = cut(components(links), "roots")
 
     # the smallest id of each component: of equal rows, of equal sets, of linked sets
