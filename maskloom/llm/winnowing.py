@@ -3,6 +3,7 @@
 A rolling hash goes over the k code points from each position. Of every w hashes in a row the smallest is chosen, the
 rightmost one on ties, and kept with its position. Two texts that share k + w - 1 code points in a row share a hash.
 A text of fewer than k code points is one gram; of fewer than w hashes, the smallest is chosen. The empty text has none.
+With k = 8 and w = 16 that is 23 code points, and about 2 of 17 hashes are kept.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut, small_batches
 
-K, W = 32, 96
+K, W = 8, 16
+#: Code points of the texts that go together as one compressed row between the passes, unless one text has more.
+BLOCK = 1 << 18
 M = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a position within a block; a block and its neighbour overlap by a window.
 BITS = 24
@@ -66,7 +69,7 @@ def chosen(h: np.ndarray, w: int) -> np.ndarray:
             span += move
         low = low[np.concatenate([[True], low[1:] != low[:-1]])]
         out.append(a + ((1 << BITS) - 1 - (low & np.uint64((1 << BITS) - 1)).astype(np.int64)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
 def fingerprint(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +81,23 @@ def fingerprint(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarr
 
 def as_text(fp: tuple[np.ndarray, np.ndarray]) -> str:
     """hash@position in hexadecimal digits, by position."""
-    return " ".join([f"{h:010x}@{p:x}" for h, p in zip(fp[0].tolist(), fp[1].tolist())])
+    digits = lambda a, kind: np.frombuffer(a.astype(kind).tobytes().hex().encode(), np.uint8).reshape(len(a), -1)
+    if not len(fp[0]):
+        return ""
+    one = np.ones((len(fp[0]), 1), np.uint8)
+    cells = np.concatenate([digits(fp[0], ">u8")[:, 6:], one * ord("@"), digits(fp[1], ">u4"), one * ord(" ")], axis=1)
+    ends = np.searchsorted(fp[1], [16**n for n in range(1, 9)]).tolist()  # positions ascend: those of n digits stand together
+    parts = [np.concatenate([cells[i:j, :11], cells[i:j, 18 - n :]], axis=1).tobytes() for n, (i, j) in enumerate(zip([0, *ends], ends)) if i < j]
+    return b"".join(parts)[:-1].decode()
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Jaccard similarity of the sets of hashes; 1 for two without any."""
-    x, y = np.unique(a[0]), np.unique(b[0])
+    return likeness_of_sets(np.unique(a[0]), np.unique(b[0]))
+
+
+def likeness_of_sets(x: np.ndarray, y: np.ndarray) -> float:
+    """The same of sorted distinct hashes."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -114,64 +128,69 @@ def with_next(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", t
     """Each document against its edited text and against the next document by ascending id; after the last comes the first.
 
     Null ids come first; rows of one id follow each other by a hash of their text. A null text counts as empty. A document
-    alone is its own next. Texts, each compressed, are dealt out by ranges of ids and sorted; a task goes through its range
-    once, holding two texts. The last of each range waits for the first of the next range: these rows, one a partition, are
-    completed afterwards.
+    alone is its own next. Texts, each compressed, are dealt out by ranges of ids and sorted; a task cuts its range into blocks
+    of texts in a row, each with the text that follows it, and writes them down. The last block of each range waits for the
+    first text of the next range. Fingerprints are made from the blocks, on the way out: no table holds them in between.
     """
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
-    def row(text: str, fp: tuple, following: str, next_fp: tuple) -> tuple:
+    def row(text: str, fp: tuple, hashes: np.ndarray, following: str, next_hashes: np.ndarray) -> tuple:
         new = edited(text, following)
         new_fp = fingerprint(new, k, w)
-        return len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(fp), as_text(new_fp), likeness(fp, new_fp), likeness(fp, next_fp)
+        return len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(fp), as_text(new_fp), likeness_of_sets(hashes, np.unique(new_fp[0])), likeness_of_sets(hashes, next_hashes)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([coder.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["doc_id", "hash", "squeezed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = zstandard.ZstdDecompressor()
-        part, last, schema = TaskContext.get().partitionId(), None, None
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, decoder = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        part, schema, first, ids, texts, size = TaskContext.get().partitionId(), None, None, [], [], 0
 
-        def out(ids: list, rows: list[tuple], edge: bool, first: str | None = None, text: str | None = None) -> pa.RecordBatch:
-            cols = list(zip(*rows)) if rows else [[None] * len(ids)] * 6
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
-            more = [pa.array([x] * len(ids), t) for x, t in ((part if edge else None, pa.int32()), (first, pa.string()), (text, pa.string()))]
-            return pa.RecordBatch.from_arrays([pa.array(ids, schema), *arrays, *more], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "first", "text"])
+        def out(following: bytes | None) -> pa.RecordBatch:
+            raw = [t.encode() for t in texts]
+            cols = [pa.array([part], pa.int32()), pa.array([ids], pa.list_(schema)), pa.array([list(map(len, raw))], pa.list_(pa.int64())), pa.array([coder.compress(b"".join(raw))], pa.binary()), pa.array([following], pa.binary()), pa.array([None if following else first], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "ids", "sizes", "block", "following", "first"])
 
-        begin = None
         for b in batches:
-            schema, ids, rows = b.schema.field(0).type, [], []
+            schema = b.schema.field(0).type
             for i, t in zip(b.column(0).to_pylist(), b.column(2)):
-                t = decoder.decompress(t.as_py()).decode()
-                fp = fingerprint(t, k, w)
-                if last is None:
-                    begin = t
-                else:
-                    ids.append(last[0])
-                    rows.append(row(last[1], last[2], t, fp))
-                last = (i, t, fp)
-            if ids:
-                yield out(ids, rows, False)
-        if last is not None:
-            yield out([last[0]], [], True, begin, last[1])
+                small = t.as_py()
+                text = decoder.decompress(small).decode()
+                first = small if first is None else first
+                if texts and size + len(text) > BLOCK:
+                    yield out(small)
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield out(None)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = zstandard.ZstdDecompressor()
+        for b in batches:
+            for n in range(b.num_rows):
+                raw, texts, at = decoder.decompress(b.column(2)[n].as_py()), [], 0
+                for size in b.column(1)[n].as_py():
+                    texts.append(raw[at : at + size].decode())
+                    at += size
+                texts.append(decoder.decompress(b.column(3)[n].as_py()).decode())
+                fps = [fingerprint(t, k, w) for t in texts]
+                sets = [np.unique(fp[0]) for fp in fps]
+                rows = [row(*x) for x in zip(texts, fps, sets, texts[1:], sets[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0)[n].values, *(pa.array(c) for c in zip(*rows))], ["doc_id", *names])
 
     names = [x.split()[0] for x in FIELDS.split(", ")]
     small = base.withColumn("hash", F.xxhash64("text")).mapInArrow(squeezed, f"doc_id {kind}, hash long, squeezed binary")
     dealt = small.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
-    table = cut(dealt.mapInArrow(run, f"doc_id {kind}, {FIELDS}, part int, first string, text string"), "ranges")
-    edges = table.where("part is not null")
+    table = cut(dealt.mapInArrow(blocks, f"part int, ids array<{kind}>, sizes array<long>, block binary, following binary, first binary"), "ranges")
+    edges = table.where("following is null")
     parts = sorted(r["part"] for r in edges.select("part").collect())  # a number per partition that has rows
-    following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
-    pairs = edges.select("doc_id", "text", "part").join(F.broadcast(following), "part").join(edges.select(F.col("part").alias("next_part"), F.col("first").alias("following")), "next_part").select("doc_id", "text", "following")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [row(t, fingerprint(t, k, w), f, fingerprint(f, k, w)) for t, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*rows))], ["doc_id", *names])
-
-    return table.where("part is null").select("doc_id", *names).unionByName(pairs.mapInArrow(finish, f"doc_id {kind}, {FIELDS}"))
+    after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
+    ends = edges.drop("following").join(F.broadcast(after), "part").join(edges.select(F.col("part").alias("next_part"), F.col("first").alias("following")), "next_part")
+    columns = ("ids", "sizes", "block", "following")
+    return table.where("following is not null").select(*columns).unionByName(ends.select(*columns)).mapInArrow(rows_of, f"doc_id {kind}, {FIELDS}")

@@ -79,6 +79,22 @@ def test_winnowing_guarantee():
         assert set(winnowing.fingerprint(a)[0]) & set(winnowing.fingerprint(b)[0])
 
 
+def test_winnowing_of_short_texts():
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for n in [*range(46, 254)] * 3:
+        a = text(n)
+        assert winnowing.likeness(winnowing.fingerprint(a), winnowing.fingerprint(winnowing.edited(a, text(n)))) > 0, n
+
+
+def test_next_document_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "BLOCK", 50)
+    texts = {i: f"text {i} " * (i % 13) for i in range(90)}
+    got = winnowing.with_next(spark.createDataFrame(list(texts.items()), "doc_id int, text string").repartition(7)).collect()
+    assert {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(winnowing.edited(t, texts[(i + 1) % 90]).encode()).hexdigest() for i, t in texts.items()}
+    assert all(r.fingerprint == winnowing.as_text(winnowing.fingerprint(texts[r.doc_id])) for r in got) and len(got) == 90
+
+
 def test_next_document(spark, docs):
     got = sorted(map(tuple, winnowing.with_next(docs.repartition(5)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "near_next").collect()), key=repr)
     rows = sorted(((i, t or "") for i, t in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
