@@ -40,6 +40,15 @@ def test_detectors(spark, name):
         assert len(r.s) == r.n or r.text.startswith("bare"), (r.text, [s.text for s in r.s])
 
 
+def test_addresses_in_long_lines(spark):
+    rest = " is where the parties of this agreement met" * 9
+    starts = ["123 Main St", "P.O. Box 12", "1600 Pennsylvania Ave NW"]
+    df = spark.createDataFrame([(i, f"{a}{rest}\nnext line") for i, a in enumerate(starts)] + [(3, f"Address: 123 Main St{rest}"), (4, f"Main Street{rest}")], "doc_id long, text string")
+    found = {r.doc_id: [s.text for s in r.s] for r in df.select("doc_id", detect.detect("text", Config(), ("address_line",)).alias("s")).collect()}
+    assert found == {i: [a] for i, a in enumerate(starts)} | {3: ["123 Main St"], 4: []}
+    assert all(a not in r.redacted for r, a in zip(redact(df, Config(secret="k")).orderBy("doc_id").collect(), starts))
+
+
 @pytest.fixture(scope="module")
 def redacted(spark):
     df = spark.createDataFrame([(1, DOC), (2, None), (3, ""), (4, DOC)], "doc_id long, text string")
