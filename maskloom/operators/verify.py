@@ -74,8 +74,9 @@ def audit_entries(df: DataFrame, id_col: str = "doc_id", plan_col: str = "plan")
 
 
 def audit_summary(entries: DataFrame, *by: str) -> DataFrame:
-    """Counts by label and in all (a rollup): entries, differences in length, kept ones. by: columns to keep apart."""
-    return entries.groupBy(*by, "label").agg(F.count("*").alias("entries"), F.sum("length_delta").alias("length_delta"), F.count_if("skip_replacement").alias("kept"))
+    """Counts by label and in all (label null): entries, differences in length, kept ones. by: columns to keep apart. No entries, no row."""
+    groups = entries.groupingSets([[*by, "label"], [*by]], *by, "label")
+    return groups.agg(F.count("*").alias("entries"), F.sum("length_delta").alias("length_delta"), F.count_if("skip_replacement").alias("kept"))
 
 
 def leaking(df: DataFrame, secret: str | None, columns: list[str]) -> DataFrame:

@@ -114,6 +114,12 @@ def test_evaluation(spark):
     assert evaluate.variants(texts, 4, 1).collect() == evaluate.variants(texts, 4, 1).collect()
 
 
+def test_audit_summary(spark):
+    df = spark.createDataFrame([(1, "EMAIL", 3, False), (1, "EMAIL", -1, True), (1, "PHONE", 0, False), (2, "PHONE", 5, False)], "doc_id long, label string, length_delta int, skip_replacement boolean")
+    assert {tuple(r) for r in verify.audit_summary(df).collect()} == {("EMAIL", 2, 2, 1), ("PHONE", 2, 5, 0), (None, 4, 7, 1)}
+    assert {tuple(r) for r in verify.audit_summary(df, "doc_id").collect()} == {(1, "EMAIL", 2, 2, 1), (1, "PHONE", 1, 0, 0), (1, None, 3, 2, 1), (2, "PHONE", 1, 5, 0), (2, None, 1, 5, 0)}
+
+
 def test_configuration(tmp_path):
     path = tmp_path / "c.yml"
     path.write_text("ner: false\nprecedence: [EMAIL, PHONE]\n")
