@@ -49,7 +49,7 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), PACKED, public_tokenizers.PATTERN)
+    pieces = packing.pack(documents(spark, sf_dir), PACKED, public_tokenizers.PATTERN, added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -56,6 +56,16 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), queries.PACKED, P.PATTERN).count() == 0
 
 
+def test_added_tokens(spark, monkeypatch):
+    t, enc = Tokenizer.from_file(queries.PACKED), packing.encoder(queries.PACKED, P.PATTERN, True)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<|endoftext|", "it's 12  o'clock <|END|>", " <|endoftext|>\n\n  <|endoftext|>  z"]
+    for x in texts:
+        assert enc.encode_to_numpy(x, allowed_special="all").tolist() == t.encode(x, add_special_tokens=False).ids
+    monkeypatch.setattr(queries, "documents", lambda *_: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r.doc_tokens for r in queries.op7_packing(spark, "").collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+
+
 def plain_winnow(text, k, w):
     h = [winnowing.gram_hashes(text[i : i + k], k)[0] for i in range(max(1, len(text) - k + 1))] if text else []
     w = min(w, len(h))
