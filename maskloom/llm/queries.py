@@ -32,7 +32,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("all")).alias("spans"), "n_live", "n_copied")
+    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("all")).alias("spans"), "n_live", "n_copied", F.array_join(F.transform("all", lambda s: s["n_repos"].cast("string")), ",").alias("n_repos"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

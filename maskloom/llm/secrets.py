@@ -20,7 +20,7 @@ KINDS = ("assign", "access", "hex", "url", "mixed")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-URL = r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x00-\x20:/@]{1,100}:[^\x00-\x20/@]{3,100}@"
+URL = r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\x00-\x20:/@]+:[^\x00-\x20/@]{3,}@"
 MIXED = r"[A-Za-z0-9_-]{20,}"
 LEAST_VALUE, WIDE = 6, 3
 BLOCK = 256
@@ -77,7 +77,7 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", carry: bool = False) -> DataFrame:
-    """doc_id, base and all: arrays of spans; n_live, n_copied: spans whose value has fewer than WIDE owners, or not.
+    """doc_id, base and all: arrays of spans, with n_repos, the repositories that have the value; n_live, n_copied: spans whose value has fewer than WIDE owners, or not.
 
     carry adds row (a struct of all input columns).
     """
@@ -85,11 +85,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     base = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.coalesce(F.col(owner_col), F.lit("")).alias("owner"), candidates(F.col(text_col)).alias("spans"))
     base = cut(base.withColumn("place", F.monotonically_increasing_id()), "candidates")
     each = base.select("place", "repo", "owner", F.inline("spans")).withColumn("hash", F.xxhash64("value", "kind"))
-    owned = cut(ownership(each.select("hash", "repo", "owner")), "ownership").select("hash", "n_owners")
-    verdicts = each.select("place", "start", "rank", "end", "kind", "hash").join(owned, "hash").select("place", F.struct("start", "rank", "end", "kind", (F.col("n_owners") < WIDE).alias("live")).alias("s"))
+    owned = cut(ownership(each.select("hash", "repo", "owner")), "ownership").select("hash", "n_repos", "n_owners")
+    verdicts = each.select("place", "start", "rank", "end", "kind", "hash").join(owned, "hash").select("place", F.struct("start", "rank", "end", "kind", (F.col("n_owners") < WIDE).alias("live"), "n_repos").alias("s"))
     by_doc = verdicts.groupBy("place").agg(F.array_sort(F.collect_list("s")).alias("s"))  # at most a document's spans
     is_base = lambda s: s["rank"] < 3
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,live:boolean>>")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,live:boolean,n_repos:bigint>>")
     done = base.select("place", "row", "doc_id").join(by_doc, "place", "left").select("row", "doc_id", F.coalesce("s", none).alias("s"))
     live = F.size(F.filter("s", lambda s: s["live"]))
     return done.select("row", "doc_id", F.filter("s", is_base).alias("base"), F.filter("s", lambda s: is_base(s) | s["live"]).alias("all"), live.cast("long").alias("n_live"), (F.size("s") - live).cast("long").alias("n_copied"))

@@ -112,6 +112,12 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, data).limit(0)).count() == 0
 
 
+def test_long_urls_and_repositories(spark):
+    texts = [f"see ftp://me:{'p!' * 90}@host/ ", f"see ftp://me:{'p!' * 90}@host/ ", f"x https://{'u' * 150}:abc@host"]
+    got = secrets.scan(spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: [(s.kind, s.n_repos) for s in r["all"] if s.kind == "url"] for r in got} == {0: [("url", 2)], 1: [("url", 2)], 2: [("url", 1)]}
+
+
 @pytest.mark.parametrize("spans, want", [([], "héllo world"), ([(1, 3)], "h*lo world"), ([(0, 2), (1, 4), (4, 5), (9, 11)], "* wor*")])
 def test_redaction(spark, spans, want):
     df = spark.createDataFrame([("héllo world", spans)], "text string, s array<struct<start:int,end:int>>")
