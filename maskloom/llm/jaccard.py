@@ -15,7 +15,11 @@ a large component adds no pairs.
 Before texts are fetched, candidates are held against sketches: a bit for each hash value, the parity of the set's shingles that
 have it. Each shingle in one set alone changes one bit, so more unequal bits than a link allows rule the pair out for certain.
 
-Shingles are told apart by 64-bit hashes, sets by 128 bits. Null and empty texts have no set and are linked with nothing.
+Shingles are told apart by 64-bit hashes, sets by 128 bits. Null and empty texts have no set and are linked with nothing: their
+component is their own id. Each input row gives a row; of repeated rows, and of rows with one id, each is a node's copy. Null ids
+count as largest where the smallest id of a component is taken. An empty table gives an empty one. Other columns are ignored or
+carried in ``whole``, whatever their names. Texts are worked on some PART_BYTES at a time; of a longer one all shingles are held,
+some 100 bytes for each word.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, discard, small_batches
+from .shared import cut, discard, parts, small_batches
 from .substrings import P, U, word_table
 from .winnowing import mixed
 
@@ -118,7 +122,7 @@ def described(base: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in parts(batches, 1):
             found = sets(b.column(1), k)
             if found:
                 every = np.concatenate(found)
@@ -189,7 +193,7 @@ def verified(pairs: DataFrame, base: DataFrame, nodes: DataFrame, k: int, num: i
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (c for half in parts(batches, 2) for c in parts(iter([half]), 3)):
             first, other = sets(b.column(2), k), sets(b.column(3), k)
             keep = [i for i, (x, y) in enumerate(zip(first, other)) if linked(x, y, num, den)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32()))], ["a", "b"])
@@ -254,7 +258,7 @@ def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     names = cut(own.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("node")).select("node"), "names")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             every = sets(b.column(1), k)
             keep = [i for i, s in enumerate(every) if len(s)]
             out = [prefix(every[i], frequency, mean, num, den) for i in keep]
@@ -329,7 +333,7 @@ def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs with one of each component: the first row of its smallest id. Texts without words all stay."""
+    """The rows of docs with one of each component: the first row of its smallest id. Texts without words all stay. An empty table gives an empty one."""
     base = numbered(docs, id_col, text_col, carry=True)
     stay = cut(joined(base.drop("whole"), k, num, den).where("row = least_row").select("row"), "stay")
     return base.select("row", "whole").join(stay, "row", "left_semi").select("whole.*")

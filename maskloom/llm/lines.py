@@ -3,7 +3,8 @@
 A window is three consecutive lines of a text, told apart from others by the MD5 of its bytes; one without a word doesn't
 count. Of the places where a window stands, the first stays: that of the smallest document id (nulls last), there the first.
 Every line that a later place covers is removed; a text of fewer than three lines stays whole. Rows with one id are told
-apart by text and then by place, so that of repeated rows one stays whole. A null text stays null and has no lines.
+apart by text and then by place, so that of repeated rows one stays whole. A null text stays null and has no lines. Texts of any
+length are read whole. An empty table gives an empty one. Other columns are carried in ``row``, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,10 +2,16 @@
 
 Measures come from one pass over a text. Rules on them fail or pass a text; failures are summed up by host. A host's rate of
 failures is drawn towards that of all hosts by a beta prior fitted to them by moments, so that a host of few texts isn't
-judged by chance. A text is rejected when a base rule fails, when two of the other rules fail, or when one of them fails and
-its host is bad. A clean text is kept whatever its host.
+judged by chance. A host is bad if its drawn rate, less SURE standard deviations of its posterior, is above APART times the
+mean of all hosts, and good if the rate, and SURE deviations more, is below the mean divided by APART.
 
-A null text counts as empty, and fails for having few words; a null host counts as the host ''. Each input row gives a row.
+A text is rejected when a base rule fails. How many of the other rules may fail hangs on the host: one of them rejects a text
+of a bad host, two reject a text of any other, and it takes three for a good host. So a text that fails no rule is kept
+whatever its host.
+
+A null text counts as empty, and fails for having few words; a null host counts as the host ''. Each input row gives a row, and
+repeated rows count as often as they stand. Texts of any length are measured whole; a text's words are held in memory at once.
+An empty table gives an empty one. Other columns are carried in ``row``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +25,11 @@ SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Other rules: mean word length, symbols a word, share of repeated lines (%).
 SHORTEST, LONGEST, MOST_SYMBOLS, MOST_LINES = 2, 16, 10, 30
-#: A host whose drawn rate of failures is above this is bad.
-BAD_RATE = 0.5
-#: So many bad hosts may be broadcast (a host name has some 50 bytes).
+#: How far a host's rate must be from the mean to tell it apart: as a factor, and in standard deviations of its posterior.
+APART, SURE = 1.5, 2.0
+#: How many of the other rules a text may fail on a host that isn't told apart.
+DEFAULT = 1
+#: So many hosts that are told apart may be broadcast (a host name has some 50 bytes: 3 MB).
 FEW = 50_000
 
 
@@ -81,13 +89,17 @@ def others_failed(m: Column) -> Column:
     return length.cast("int") + symbols.cast("int") + lines.cast("int")
 
 
-def bad_hosts(judged: DataFrame) -> DataFrame:
-    """judged: host, failed. The hosts whose rate of failures, drawn to the prior, is above BAD_RATE."""
+def judged_hosts(judged: DataFrame) -> DataFrame:
+    """judged: host, failed. host and allowed: how many of the other rules a text may fail; hosts other than DEFAULT alone."""
     hosts = cut(judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("bad")), "hosts")
     rate = F.col("bad") / F.col("n")
     moments = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v")).first()
-    alpha, beta = prior(moments["m"], moments["v"])
-    return cut(hosts.where((F.col("bad") + alpha) / (F.col("n") + alpha + beta) > BAD_RATE).select("host"), "bad-hosts")
+    mean = moments["m"] or 0.0
+    alpha, beta = prior(mean, moments["v"])
+    drawn = hosts.select("host", ((F.col("bad") + alpha) / (F.col("n") + alpha + beta)).alias("r"), (F.col("n") + alpha + beta + 1).alias("size"))
+    sd = F.sqrt(F.col("r") * (1 - F.col("r")) / F.col("size"))
+    allowed = F.when(F.col("r") - SURE * sd > APART * mean, 0).when((F.col("r") + SURE * sd) * APART < mean, 2)
+    return cut(drawn.select("host", allowed.alias("allowed")).where("allowed is not null"), "judged-hosts")
 
 
 def prior(mean: float | None, variance: float | None) -> tuple[float, float]:
@@ -100,12 +112,13 @@ def prior(mean: float | None, variance: float | None) -> tuple[float, float]:
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """row: a struct of the columns to carry (all of the input's); m: measures; base_failed; kept. Measures are made once, into a table."""
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), measures(F.col(text_col)).alias("m"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if carry is None or c in carry)).alias("row")
+    base = docs.select(row, F.coalesce(F.col(host_col), F.lit("")).alias("host"), measures(F.col(text_col)).alias("m"))
     judged = cut(base.withColumn("base_failed", base_failed(F.col("m"))).withColumn("others", others_failed(F.col("m"))), "measures")
-    bad = bad_hosts(judged.select("host", (F.col("base_failed") | (F.col("others") > 0)).alias("failed")))
-    few = bad.limit(FEW + 1).count() <= FEW
-    joined = judged.join((F.broadcast(bad) if few else bad).withColumn("bad", F.lit(True)), "host", "left")
-    reject = F.col("base_failed") | (F.col("others") >= 2) | (F.col("bad").isNotNull() & (F.col("others") >= 1))
+    hosts = judged_hosts(judged.select("host", (F.col("base_failed") | (F.col("others") > 0)).alias("failed")))
+    few = hosts.limit(FEW + 1).count() <= FEW
+    joined = judged.join(F.broadcast(hosts) if few else hosts, "host", "left")
+    reject = F.col("base_failed") | (F.col("others") > F.coalesce("allowed", F.lit(DEFAULT)))
     return joined.select("row", "m", "base_failed", (~reject).alias("kept"))
 
 

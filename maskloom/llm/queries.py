@@ -32,7 +32,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("all")).alias("spans"), "n_live", "n_copied", F.array_join(F.transform("all", lambda s: s["n_repos"].cast("string")), ",").alias("n_repos"))
+    listed = lambda field: F.array_join(F.transform("all", lambda s: s[field].cast("string")), ",").alias(field)
+    digest = F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256")
+    spans = secrets.as_text(F.col("all")).alias("spans")
+    return found.select("doc_id", *map(count, secrets.KINDS[: secrets.BASE_KINDS]), digest, spans, "n_live", "n_copied", listed("n_repos"), listed("n_owners"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(documents(spark, sf_dir), PACKED, public_tokenizers.PATTERN, added=True)
+    pieces = packing.pack(documents(spark, sf_dir), PACKED, public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -107,10 +110,10 @@ j as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 h as (select host, count(*) as n, sum((base_failed or others > 0)::int) as bad from j group by host),
 p as (select avg(bad / n) as a, var_pop(bad / n) as v from h),
 s as (select a, case when a = 0 or a >= 1 then null when v = 0 then 1000 else least(1000, greatest(1, a * (1 - a) / v - 1)) end as size from p),
-b as (select host from h, s where (bad + coalesce(a * size, 1)) / (n + coalesce(size, 2)) > 0.5)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not (base_failed or others >= 2 or (others >= 1 and host in (select host from b))) as kept
-from j
+r as (select host, a, n + coalesce(size, 2) + 1 as size, (bad + coalesce(a * size, 1)) / (n + coalesce(size, 2)) as r from h, s),
+b as (select host, case when r - 2 * sqrt(r * (1 - r) / size) > 1.5 * a then 0 when (r + 2 * sqrt(r * (1 - r) / size)) * 1.5 < a then 2 else 1 end as allowed from r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or others > allowed) as kept
+from j join b using (host)
 """,
     "op3_lines": rf"""
 with d as (select doc_id, string_split(text, chr(10)) as l from documents),

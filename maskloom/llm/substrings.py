@@ -13,11 +13,15 @@ repeats. Otherwise the windows of each different block, not of each copy, are lo
 words that they all hold, since a window can't repeat where those don't; then what is left by the windows' own hashes.
 Windows without an anchor (periodic texts) are their own anchor. Names and hashes have 64 bits and are compared in pairs, thus by 128 bits.
 
-All words of windows that stand in two places are removed, also at the first. Null texts have no words. Other columns are ignored.
+All words of windows that stand in two places are removed, also at the first. Null texts have no words. Each input row gives a
+row; repeated rows, and ids that stand twice or are null, are texts of their own, so all windows of copies go. An empty table
+gives an empty one. Other columns are ignored, whatever their names. Texts are worked on some PART_BYTES at a time; a longer one
+is parsed in overlapping pieces, and its windows are hashed from its whole sequence of words, some 60 bytes for each word.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -26,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, discard, small_batches
+from .shared import PART_BYTES, cut, discard, parts, small_batches
 from .winnowing import mixed
 
 WIDTH, ROUNDS, GROUP = 35, 3, 5
+SPACES = b" \t\n\v\f\r"
+#: Bytes whose powers are held at a time.
+STRETCH = 1 << 18
 P = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
 U = np.uint64
@@ -42,12 +49,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_table(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, start, end (in the bytes of all texts) and row of every word, without a loop over words. fold: A to Z as a to z."""
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+@functools.lru_cache(maxsize=1)
+def stretch_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(P, STRETCH), powers(INVERSE, STRETCH)
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words in the bytes of texts that begin at offsets; no word goes over the end of a text."""
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -57,14 +65,41 @@ def word_table(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndar
     stops[:-1] &= ~solid[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
     stops[last] = solid[last]
-    start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The polynomial of each word's bytes, by stretches of words: what is held for each byte has a bound."""
+    up, down = stretch_powers()
+    out, i = np.zeros(len(start), U), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + STRETCH, side="right")))
+        a, z = start[i], end[j - 1]
+        if z - a <= STRETCH:
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(table[data[a:z]] * up[: z - a], dtype=np.uint64)])
+            # a word's polynomial, moved to begin at power 0
+            out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * down[start[i:j] - a]
+        else:  # one word of several stretches
+            total = 0
+            for at in range(a, z, STRETCH):
+                part = table[data[at : min(at + STRETCH, z)]]
+                total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(P), int(at - a), 1 << 64)
+            out[i] = total % (1 << 64)
+        i = j
+    return out
+
+
+def word_table(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, start, end (in the bytes of all texts) and row of every word, without a loop over words. fold: A to Z as a to z."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    start, end = word_bounds(data, offsets)
     table = mixed(np.arange(1, 257, dtype=np.uint64) * P)
     if fold:
         table[65:91] = table[97:123]
-    values = table[data]
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(values * powers(P, len(data)), dtype=np.uint64)])
-    # a word's polynomial, moved to begin at power 0
-    h = (sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start]
+    h = word_hashes(data, start, end, table)
     return mixed(h + (end - start).astype(np.uint64)), start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
@@ -177,6 +212,32 @@ def blocks(t: Texts, width: int, rounds: int) -> tuple[np.ndarray, ...]:
     return row, anchor.view(np.int64), block.view(np.int64), a - t.base[row], b - t.base[row], inside
 
 
+def all_blocks(texts: pa.Array, width: int, rounds: int, most: int = PART_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """blocks() of texts; a text of more than ``most`` bytes by itself, in pieces that overlap by a window less a word.
+
+    What a window's symbols are is known from within it, so the piece that it is looked at in makes no difference; blocks of
+    copies that are cut at different words differ, and their windows are looked at one by one.
+    """
+    if len(texts) != 1 or len(raw := texts[0].as_py().encode()) <= most:
+        yield blocks(Texts(texts), width, rounds)
+        return
+    at, words, size = 0, 0, most
+    while True:
+        end = min(at + size, len(raw))
+        while end < len(raw) and raw[end] not in SPACES:  # a word isn't cut
+            end += 1
+        t = Texts(pa.array([raw[at:end]], pa.binary()).cast(pa.string()))
+        if end < len(raw) and len(t.start) < 2 * width:  # very long words: the next piece would begin where this one did
+            size *= 2
+            continue
+        row, anchor, block, first, last, inside = blocks(t, width, rounds)
+        yield row, anchor, block, first + words, last + words, inside
+        if end == len(raw):
+            return
+        new = len(t.start) - width + 1
+        words, at, size = words + new, at + (int(t.start[new]) if width > 1 else end - at), most
+
+
 def removed(texts: pa.Array, spans: list[list[tuple[int, int]]]) -> tuple[np.ndarray, list[int], list[str]]:
     """Number of words, number removed and hash of the words that are left, of each text. spans: ranges of words to remove."""
     raw = [x.as_py().encode().split() for x in texts]
@@ -208,15 +269,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, anchor, block, first, last, inside = blocks(Texts(b.column(1)), width, rounds)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, (anchor, block)), *(pa.array(x.astype(np.int32)) for x in (first, last, inside))], ["row", "anchor", "block", "first", "last", "inside"])
+        for b in parts(batches, 1):
+            for row, anchor, block, first, last, inside in all_blocks(b.column(1), width, rounds):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, (anchor, block)), *(pa.array(x.astype(np.int32)) for x in (first, last, inside))], ["row", "anchor", "block", "first", "last", "inside"])
 
     group = min(GROUP, width)
 
     def listed(b: pa.RecordBatch) -> tuple[Texts, np.ndarray, list[np.ndarray]]:
         """Texts; of each range of windows in the list that came with a text: its row in the batch, anchor, n, first, last, at."""
-        return Texts(b.column(1)), np.repeat(np.arange(len(b)), np.diff(b.column(2).offsets.to_numpy())), [b.column(2).flatten().field(i).to_numpy().astype(np.int64) for i in range(5)]
+        return Texts(b.column(1)), np.repeat(np.arange(len(b)), b.column(2).value_lengths().to_numpy(zero_copy_only=False)), [b.column(2).flatten().field(i).to_numpy().astype(np.int64) for i in range(5)]
 
     def repeated(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each of a's indices n times, and the numbers from 0 within them."""
@@ -224,7 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             t, of, (anchor, n, first, last, at) = listed(b)
             low, high = (at - last) // group, (at - first) // group
             which, k = repeated(low, high - low + 1)
@@ -236,7 +297,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             yield pa.RecordBatch.from_arrays(cols, ["row", "anchor", "g", "first", "last", "at", "core", "n"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             t, of, (anchor, n, first, last, at) = listed(b)
             which, k = repeated(first, last - first + 1)
             start, of = first[which] + k, of[which]
@@ -247,7 +308,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[s])), pa.array(key[s].view(np.int64)), pa.array(window[s].view(np.int64)), pa.array(n[which[s]]), pa.array(start[s].astype(np.int32))], ["row", "key", "window", "n", "start"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2):
             spans = [[(x["a"], x["b"]) for x in s or ()] for s in b.column(3).to_pylist()]
             n, gone, kept = removed(b.column(2), spans)
             cols = [b.column(1), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept]), pa.array(kept if texts else [None] * len(kept), pa.string())]

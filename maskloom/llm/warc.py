@@ -2,8 +2,13 @@
 
 An archive begins with a skippable frame that holds a dictionary (https://iipc.github.io/warc-specifications, the Zstandard
 extension); after it comes one frame per record. The reader takes the dictionary from there, finds each frame's end from its
-block headers, decodes it by itself, and checks the record: version line, mandatory headers, Content-Length, block and
-payload digests. A record that fails raises ValueError with its place, since a wrong archive must not pass for a shorter one.
+block headers, decodes it by itself, and checks the record: version line, mandatory headers, Content-Length, HTTP headers, block
+and payload digests where the record has them. Header names count in any case. A record that fails raises ValueError with its
+archive and place, since a wrong archive must not pass for a shorter one. Records other than responses and revisits (warcinfo,
+request, metadata and the like) are checked the same way and then passed over.
+
+A null html is an empty payload, a null url an empty one. Each input row gives a record, repeated rows too. A payload of any
+length is one record, held in memory as such. An empty table writes no archive. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST, ARCHIVE_BYTES = 1000, 32 << 20
 MANDATORY = ("WARC-Record-ID", "WARC-Type", "WARC-Date", "Content-Length")
 LEVEL = 3
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def record(kind: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -51,7 +57,10 @@ def urn(page_id: int | None) -> str:
 
 
 def number(record_id: str) -> int | None:
-    n = uuid.UUID(record_id.strip("<>")).int
+    try:
+        n = uuid.UUID(record_id.strip("<>")).int
+    except ValueError:
+        raise ValueError(f"a record id that is no UUID: {record_id[:60]!r}") from None
     return None if n >= 1 << 64 else n - (1 << 64) * (n >> 63)
 
 
@@ -100,35 +109,81 @@ def records(data: bytes) -> Iterator[bytes]:
         decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     while at < len(data):
         end = frame_end(view, at)
-        yield decoder.decompressobj().decompress(view[at:end])
+        try:
+            yield decoder.decompressobj().decompress(view[at:end])
+        except zstandard.ZstdError as e:
+            raise ValueError(f"the frame at byte {at} can't be decoded: {e}") from e
         at = end
 
 
-def parsed(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """page_id, bytes and SHA-1 of the full payload, type, page_id that it refers to. Raises ValueError if anything is amiss."""
+def fields_of(lines: list[str]) -> dict[str, str]:
+    """Header fields by name in lower case; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name.strip():
+            raise ValueError(f"a header line without a name: {line[:60]!r}")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def numbered(value: str, name: str) -> int:
+    if not (value.isascii() and value.isdigit()):
+        raise ValueError(f"{name} is no number: {value[:60]!r}")
+    return int(value)
+
+
+def sha1_of(fields: dict[str, str], name: str) -> bytes | None:
+    """The digest of that header, in base 32 or 16; null where there is none."""
+    if name.lower() not in fields:
+        return None
+    kind, _, value = fields[name.lower()].partition(":")
+    try:
+        if kind.lower() != "sha1":
+            raise ValueError
+        return bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        raise ValueError(f"{name} is no SHA-1 digest: {fields[name.lower()][:60]!r}") from None
+
+
+def parsed(raw: bytes) -> tuple[int | None, int, str, str, int | None] | None:
+    """page_id, bytes and SHA-1 of the full payload, type, page_id that it refers to; null for other kinds of record.
+
+    Raises ValueError if anything is amiss.
+    """
     head, found, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not found or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("no WARC version line")
-    fields = dict(x.split(": ", 1) for x in lines[1:])
-    if missing := [x for x in MANDATORY if x not in fields]:
+    fields = fields_of(lines[1:])
+    if missing := [x for x in MANDATORY if x.lower() not in fields]:
         raise ValueError(f"headers are missing: {missing}")
-    n = int(fields["Content-Length"])
+    n = numbered(fields["content-length"], "Content-Length")
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length is {n}, the record has {len(rest) - 4}")
-    block = rest[:n]
-    http, found, payload = block.partition(b"\r\n\r\n")
-    length = int(next(x.split(b": ", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length: ")))
-    digest = lambda name: base64.b32decode(fields[name].removeprefix("sha1:"))
-    if hashlib.sha1(block).digest() != digest("WARC-Block-Digest"):
+    block, kind = rest[:n], fields["warc-type"].lower()
+    if (said := sha1_of(fields, "WARC-Block-Digest")) is not None and hashlib.sha1(block).digest() != said:
         raise ValueError("the block's digest differs")
-    kind, refers = fields["WARC-Type"], None
+    if kind not in ("response", "revisit"):
+        return None
+    http, found, payload = block.partition(b"\r\n\r\n")
+    if not found or not http.startswith(b"HTTP/"):
+        raise ValueError("the block has no HTTP headers")
+    inner = fields_of(http.decode("latin-1").split("\r\n")[1:])
+    own, said = hashlib.sha1(payload).digest(), sha1_of(fields, "WARC-Payload-Digest")
+    length = numbered(inner["content-length"], "the HTTP Content-Length") if "content-length" in inner else None
     if kind == "response":
-        if len(payload) != length or hashlib.sha1(payload).digest() != digest("WARC-Payload-Digest"):
+        if length not in (None, len(payload)) or said not in (None, own):
             raise ValueError("the payload differs from its length or digest")
-    elif kind == "revisit":
-        refers = number(fields["WARC-Refers-To"])
-    return number(fields["WARC-Record-ID"]), length, digest("WARC-Payload-Digest").hex(), kind, refers
+        return number(fields["warc-record-id"]), len(payload), own.hex(), kind, None
+    if said is None or length is None or "warc-refers-to" not in fields:
+        raise ValueError("a revisit without payload digest, length or WARC-Refers-To")
+    return number(fields["warc-record-id"]), length, said.hex(), kind, number(fields["warc-refers-to"])
 
 
 def put(uri: str, data: bytes) -> None:
@@ -189,9 +244,10 @@ def write(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> D
 
 
 def read(spark: SparkSession, folder: str, archives: DataFrame | None = None) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of the archives in the folder.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every response and revisit of the archives in the folder.
 
-    archives: the table of write(); without it all files count. Spark's own reader brings the files to the executors.
+    archives: the table of write(); without it all files count. Spark's own reader brings the files to the executors. An archive
+    is read whole into memory (write() closes one at ARCHIVE_BYTES), and its rows go on in thousands.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.col("path"), F.col("content"))
     if archives is not None:
@@ -200,21 +256,40 @@ def read(spark: SparkSession, folder: str, archives: DataFrame | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0), b.column(1)):
+                rows, n = [], 0
                 try:
-                    rows = [parsed(r) for r in records(content.as_py())]
+                    for n, raw in enumerate(records(content.as_py()), 1):
+                        if (row := parsed(raw)) is not None:
+                            rows.append(row)
+                        if len(rows) == 1000:
+                            yield batch(rows)
+                            rows = []
                 except ValueError as e:
-                    raise ValueError(f"{path}: {e}") from e
+                    raise ValueError(f"{path}: record {n}: {e}") from e
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    return files.select("path", "content").mapInArrow(run, RECORDS)
+
 
-    return files.select("path", "content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def dangling(found: DataFrame) -> DataFrame:
+    """The revisits of read() whose response isn't among its rows, by page_id and digest."""
+    there = found.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return found.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest"], "left_anti")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes archives of the pages in the shared folder and reads them back."""
+    """Writes archives of the pages in the shared folder and reads them back. A revisit without its response is an error."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     archives = write(roles(pages, id_col, url_col, html_col), folder)
     if archives.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read(spark, folder, archives)
+        return spark.createDataFrame([], RECORDS)
+    found = cut(read(spark, folder, archives), "records")
+    if (lost := dangling(found).first()) is not None:
+        raise ValueError(f"a revisit without its response: {lost}")
+    return found

@@ -4,6 +4,10 @@ A rolling hash goes over the k code points from each position. Of every w hashes
 rightmost one on ties, and kept with its position. Two texts that share k + w - 1 code points in a row share a hash.
 A text of fewer than k code points is one gram; of fewer than w hashes, the smallest is chosen. The empty text has none.
 With k = 8 and w = 16 that is 23 code points, and about 2 of 17 hashes are kept.
+
+A null text counts as empty. Each input row gives a row, repeated rows too; of equal hashes in a window the rightmost is chosen.
+An empty table gives an empty one. Other columns are ignored, whatever their names. A text of any length is fingerprinted whole;
+some 60 bytes are held for each of its code points.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, small_batches
+from .shared import cut, parts, small_batches
 
 K, W = 8, 16
 #: Code points of the texts that go together as one compressed row between the passes, unless one text has more.
@@ -114,7 +118,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id"
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([as_text(fingerprint(t, k, w)) for t in texts])], ["doc_id", "n_chars", "fingerprint"])
 
@@ -186,11 +190,12 @@ def with_next(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", t
 
     names = [x.split()[0] for x in FIELDS.split(", ")]
     small = base.withColumn("hash", F.xxhash64("text")).mapInArrow(squeezed, f"doc_id {kind}, hash long, squeezed binary")
-    dealt = small.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
+    # ranges of id and hash: rows of one id (or of none) are dealt out too
+    dealt = small.repartitionByRange(F.col("doc_id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
     table = cut(dealt.mapInArrow(blocks, f"part int, ids array<{kind}>, sizes array<long>, block binary, following binary, first binary"), "ranges")
     edges = table.where("following is null")
-    parts = sorted(r["part"] for r in edges.select("part").collect())  # a number per partition that has rows
-    after = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
+    numbers = sorted(r["part"] for r in edges.select("part").collect())  # a number per partition that has rows: 16 MB for a million
+    after = docs.sparkSession.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1])), "part int, next_part int")
     ends = edges.drop("following").join(F.broadcast(after), "part").join(edges.select(F.col("part").alias("next_part"), F.col("first").alias("following")), "next_part")
     columns = ("ids", "sizes", "block", "following")
     return table.where("following is not null").select(*columns).unionByName(ends.select(*columns)).mapInArrow(rows_of, f"doc_id {kind}, {FIELDS}")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -33,6 +34,54 @@ def plain_quality(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(ls) - len(set(ls)), len(covered), len(ls)
 
 
+def plain_hosts(hosts):
+    """hosts: whether each text failed, by host. How many of the other rules may fail there."""
+    rates = [sum(x) / len(x) for x in hosts.values()]
+    mean = sum(rates) / len(rates)
+    a, b = quality.prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates))
+    out = {}
+    for h, x in hosts.items():
+        r, n = (sum(x) + a) / (len(x) + a + b), len(x) + a + b
+        sd = (r * (1 - r) / (n + 1)) ** 0.5
+        out[h] = 0 if r - 2 * sd > 1.5 * mean else 2 if (r + 2 * sd) * 1.5 < mean else 1
+    return out
+
+
+def host_corpus():
+    """Hosts of three kinds: mostly clean, middling, mostly failing; texts that fail none, one, two or three of the other rules."""
+    rng = random.Random(12)
+    words = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10_000)}" for _ in range(n)]
+    clean = lambda: " ".join(words(30))
+    symbols = lambda: " ".join(words(20)) + " #### $$$$"
+    lines = lambda: " ".join(words(20)) + "\n" + "\n".join(["same"] * 2 + words(1)) + "\n"
+    both = lambda: symbols() + "\n" + "\n".join(["same"] * 2) + " \n"
+    three = lambda: "x" * 1200 + " " + both()
+    out = []
+    for host, share in (("good", 0.01), ("good2", 0.02), ("so-so", 0.25), ("so-so2", 0.3), ("bad", 0.97), ("few", 1.0)):
+        for i in range(2 if host == "few" else 150):
+            make = rng.choice([symbols, lines, both, three]) if rng.random() < share or i < 4 else clean
+            make = (symbols, lines, both, three)[i] if i < 4 else make
+            out.append((len(out), make(), "en", host, 0))
+    return out
+
+
+def test_hosts_decide(spark):
+    """The host's verdict changes a text's in both directions, and SQL over the same rows says the same."""
+    import duckdb
+
+    from maskloom.llm import queries
+
+    data = host_corpus()
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.judge(docs).select("row.doc_id", "row.source", "base_failed", "m", quality.others_failed(quality.F.col("m")).alias("others"), "kept").collect()}
+    tipped = {(r.source, r.others, r.kept) for r in got.values() if not r.base_failed}
+    assert ("bad", 1, False) in tipped and ("so-so", 1, True) in tipped and ("good", 2, True) in tipped and ("so-so", 2, False) in tipped
+    assert ("bad", 0, True) in tipped and ("few", 1, True) in tipped and not any(o >= 3 and k for _, o, k in tipped)
+    documents = docs.toPandas()  # noqa: F841
+    said = duckdb.sql(f"select doc_id, kept from ({queries.ORACLE_SQL['op2_quality']})").fetchall()
+    assert dict(said) == {i: r.kept for i, r in got.items()}
+
+
 def test_quality(spark):
     rng = random.Random(1)
     data = rows(rng, lambda r: "".join(r.choice(["ab ", "cde ", "f", "##\n", "g\n", "\t", "longer-word ", "one two three four five "]) for _ in range(r.randrange(80))))
@@ -45,14 +94,11 @@ def test_quality(spark):
         others = (chars < 2 * n or chars > 16 * n) + (10 * symbols > n) + (100 * dup > 30 * n_lines)
         want[i, text] = ((n, chars, symbols, dup, rep), failed, others, host or "")
         hosts.setdefault(host or "", []).append(failed or others > 0)
-    rates = [sum(x) / len(x) for x in hosts.values()]
-    mean = sum(rates) / len(rates)
-    a, b = quality.prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates))
-    bad = {h for h, x in hosts.items() if (sum(x) + a) / (len(x) + a + b) > 0.5}
+    allowed = plain_hosts(hosts)
     for r in got:
         m, failed, others, host = want[r.doc_id, r.text]
         assert (r.m.n_words, r.m.word_chars, r.m.n_symbols, r.m.n_dup_lines, r.m.n_repeat_words) == m
-        assert r.base_failed == failed and r.kept == (not (failed or others >= 2 or (others and host in bad)))
+        assert r.base_failed == failed and r.kept == (not (failed or others > allowed[host]))
     assert quality.judge(frame(spark, data).limit(0)).count() == 0
     assert quality.kept_documents(frame(spark, data)).columns == ["doc_id", "text", "source", "n_words", "row"]
 
@@ -88,71 +134,141 @@ def plain_spans(text):
 
 def own_spans(text):
     text = text or ""
-    out = [(m.start(), 3, m.end(), "url", m[0]) for m in re.finditer(secrets.URL, text)]
-    out += [(m.start(), 4, m.end(), "mixed", m[0]) for m in re.finditer(secrets.MIXED, text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    out = [(m.start(), secrets.KINDS.index(kind), m.end(), kind, m[0]) for kind, rx in (("url", secrets.URL), ("key", secrets.KEY), ("jwt", secrets.JWT), ("pem", secrets.PEM)) for m in re.finditer(rx, text)]
+    out += [(m.start(), 7, m.end(), "mixed", m[0]) for m in re.finditer(secrets.MIXED, text) if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
     return out
 
 
+def plain_live(data, text=1, repo=0, owner=2):
+    """Values that are live, by kind and value, of rows."""
+    has = {}
+    for r in data:
+        for s in plain_spans(r[text]) + own_spans(r[text]):
+            has.setdefault(s[3:], set()).add((r[owner] or "", r[repo]))
+    return {v for v, pairs in has.items() if len({o for o, _ in pairs}) == 1 or (len({o for o, _ in pairs}) == 2 and len(pairs) < 4)}
+
+
 def test_secrets(spark):
     rng = random.Random(3)
     pool = ["Password: hunter2x ", "api_key='ab'", "SECRET=\"abc.def/ghi\" ", "token:passwd=x", "é\U0001f600", "AKIA" + "Z9" * 8 + " ", "AKIAAKIA ", "0123456789abcdef" * 2, "deadbeef", " ", "http://me:pa55word@host/ ", "Abc1" * 6 + " ", "token == "]
-    data = rows(rng, lambda r: "".join(r.choice(pool) if r.random() < 0.8 else f" K{r.randrange(30)}{'aB3' * 8} " for _ in range(r.randrange(300 if r.random() < 0.05 else 14))))
-    owners = {}
-    for i, text, host, *_ in data:
-        for s in plain_spans(text) + own_spans(text):
-            owners.setdefault(s[3:], set()).add(host or "")
-    want = []
+    pem = lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{'MIIB' * 9}{rng.randrange(20):02d}\n-----END RSA PRIVATE KEY-----\n"
+    own = lambda: rng.choice([pem(), f"ghp_{'a1B' * 12}{rng.randrange(20)} ", f"eyJhbGciOiJ.eyJzdWIiOiIx.c2lnbmF0dXJl{rng.randrange(20)} ", f" K{rng.randrange(30)}{'aB3' * 8} "])
+    piece = lambda r: r.choice(pool) if r.random() < 0.8 else own()
+    data = rows(rng, lambda r: "".join(piece(r) for _ in range(r.randrange(300 if r.random() < 0.05 else 14))))
+    alive, want = plain_live(data), []
     for i, text, *_ in data:
         every = sorted(plain_spans(text) + own_spans(text))
-        live = [s for s in every if len(owners[s[3:]]) < secrets.WIDE]
+        live = [s for s in every if s[3:] in alive]
         show = lambda ss: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in ss)
         want.append((i, show(plain_spans(text)), show([s for s in every if s[1] < 3 or s in live]), len(live), len(every) - len(live)))
+    assert {s.split(":")[0] for w in want for s in w[2].split(",") if s} == set(secrets.KINDS)
     got = secrets.scan(frame(spark, data)).select("doc_id", secrets.as_text(secrets.F.col("base")), secrets.as_text(secrets.F.col("all")), "n_live", "n_copied").collect()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
     assert secrets.scan(frame(spark, data).limit(0)).count() == 0
 
 
-def test_long_urls_and_repositories(spark):
-    texts = [f"see ftp://me:{'p!' * 90}@host/ ", f"see ftp://me:{'p!' * 90}@host/ ", f"x https://{'u' * 150}:abc@host"]
-    got = secrets.scan(spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")).collect()
-    assert {r.doc_id: [(s.kind, s.n_repos) for s in r["all"] if s.kind == "url"] for r in got} == {0: [("url", 2)], 1: [("url", 2)], 2: [("url", 1)]}
+def test_repositories_and_owners(spark):
+    """One owner may use a value in any number of repositories; two owners that spread it, or three that have it, copied it."""
+    value = lambda c: f"see ftp://me:{c * 180}@host/ "
+    rows = [(i, value("p!"), "one") for i in range(6)] + [(i, value("q!"), f"h{i % 2}") for i in range(6, 9)] + [(i, value("r!"), f"h{i % 2}") for i in range(10, 14)] + [(i, value("s!"), f"h{i}") for i in range(20, 23)] + [(30, f"x https://{'u' * 150}:abc@host", None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    found = {r.doc_id: [(s.n_owners, s.n_repos) for s in r["all"] if s.kind == "url"] for r in got}
+    assert found == {i: [(1, 6)] for i in range(6)} | {i: [(2, 3)] for i in range(6, 9)} | {i: [] for i in range(10, 14)} | {i: [] for i in range(20, 23)} | {30: [(1, 1)]}
+    assert {r.doc_id for r in got if r.n_copied} == {*range(10, 14), *range(20, 23)}
+
 
+SPANS = [[], [(1, 3)], [(0, 2), (1, 4), (4, 5), (9, 11)], [(0, 11)], [(0, 1), (0, 9), (2, 3), (10, 11)]]
 
-@pytest.mark.parametrize("spans, want", [([], "héllo world"), ([(1, 3)], "h*lo world"), ([(0, 2), (1, 4), (4, 5), (9, 11)], "* wor*")])
+
+@pytest.mark.parametrize("spans, want", list(zip(SPANS, ["héllo world", "h*lo world", "* wor*", "*", "*l*"])))
 def test_redaction(spark, spans, want):
     df = spark.createDataFrame([("héllo world", spans)], "text string, s array<struct<start:int,end:int>>")
     assert df.select(secrets.redacted(df.text, df.s, "*")).first()[0] == want
 
 
+def test_redaction_of_many_spans(spark):
+    """A log of hashes: work grows with text and spans, not with their product."""
+    n = 16_000
+    text = "".join(f"x{i:06d}secretvalue é " for i in range(n))
+    df = spark.createDataFrame([(text, [(21 * i + 7, 21 * i + 18) for i in range(n)])], "text string, s array<struct<start:int,end:int>>")
+    began = time.time()
+    assert df.select(secrets.redacted(df.text, df.s, "*")).first()[0] == "".join(f"x{i:06d}* é " for i in range(n))
+    assert time.time() - began < 20
+
+
+def plain_places(words):
+    """label, first alignment, score of every band of every passage that holds enough of it, by looking at all bands."""
+    out = []
+    for label, wanted, phrases, base in licenses.templates():
+        if base:
+            continue
+        width = 2 * licenses.SHIFT
+        for start in range(-len(wanted) - width, len(words) + 1):
+            if (start + 80) % licenses.SHIFT == 0:
+                n = sum(w in words[max(start + q, 0) : max(start + q + width, 0)] for q, w in enumerate(wanted))
+                around = " " + " ".join(words[max(start, 0) : max(start + len(wanted) + width, 0)]) + " "
+                if 100 * n >= 70 * len(wanted) and all(f" {p} " in around for p in phrases):
+                    out.append((label, n / len(wanted)))
+    return out
+
+
+def split_words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+def plain_licenses(doc_id, text):
+    ws, at, base = split_words(text), [], set()
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        hits = [j for j in range(len(ws) - len(p) + 1) if ws[j : j + len(p)] == p]
+        at += hits
+        base |= {label} if hits else set()
+    places = plain_places(ws)
+    score = max([s for _, s in places] + [1.0] * bool(at), default=0.0)
+    return doc_id, len(ws), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in places})), score
+
+
 def test_licenses(spark):
     rng = random.Random(4)
     words = sorted({w for _, ws, _, _ in licenses.templates() for w in ws}) + ["Über", "zzz"]
-    pool = [*licenses.BASE, *(t for _, t, _ in licenses.PASSAGES), "Under The MIT License", "cc BY-nc 4.0", "cc by", "nc"]
+    pool = [*licenses.BASE, *(t for _, t, _ in licenses.PASSAGES), "Under The MIT License", "cc BY-nc 4.0", "cc by", "nc", "SPDX-License-Identifier: MIT"]
 
     def make(r):
         parts = []
         for _ in range(r.randrange(9)):
             p = r.choice(pool).split() if r.random() < 0.5 else r.choices(words, k=6)
-            parts += [w for w in p if r.random() < 0.97]
+            least = r.choice([0.99, 0.97, 0.9, 0.8, 0.7])
+            parts += [x for w in p for x in ([w] if r.random() < least else r.choice([[], ["zzz"], [w, "zzz"]]))]
         return " ".join(parts)
 
     data = rows(rng, make)
-    got = licenses.scan(frame(spark, data)).collect()
-    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-    want, exact = [], {}
-    for i, text, *_ in data:
-        ws, at, labels = split(text), [], set()
-        for phrase, label in licenses.BASE.items():
-            p = phrase.split()
-            hits = [j for j in range(len(ws) - len(p) + 1) if ws[j : j + len(p)] == p]
-            at += hits
-            labels |= {label} if hits else set()
-        exact[i, text] = {label for label, t, _ in licenses.PASSAGES if f" {t} " in f" {' '.join(ws)} "} | labels
-        want.append((i, len(ws), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))))
-    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:6]) for r in got)
-    texts = {(r[0], hashlib.md5(repr(split(r[1])).encode()).hexdigest()): r[1] for r in data}
-    by_id = {i: t for (i, _), t in texts.items()}
-    for r in got:
-        found = set(r.labels.split(",")) - {""}
-        assert exact[r.doc_id, by_id[r.doc_id]] <= found and 0 <= r.score <= 1
+    got = licenses.scan(frame(spark, data)).drop("places").collect()
+    want = [plain_licenses(r[0], r[1]) for r in data]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    assert len({x for w in want for x in w[6].split(",")}) > 12
     assert licenses.scan(frame(spark, data).limit(0)).count() == 0
+
+
+def test_licences_that_differ_a_little(spark):
+    """What must be found: passages with words put in, left out or changed; and what must not be."""
+    text = {x: t for x, t, _ in licenses.PASSAGES}
+    mit, gpl, apache = licenses.PASSAGES[0][1].split(), text["gpl-3"].split(), licenses.PASSAGES[2][1]
+    prose = "the software was written for people who read the license of another work in all copies of it"
+    cases = [
+        (" ".join([*mit[:14], "indeed", *mit[14:]]), "mit"), (" ".join([*gpl[:17], "really", *gpl[17:]]), "gpl-3"), (" ".join([*mit[:20], *mit[22:]]), "mit"),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl-3"), ("// SPDX-License-Identifier: MIT", "mit"), (f"{prose} {apache}. {prose}", "apache-2"),
+        (" ".join(mit[:10]), ""), (" ".join(sorted(mit)), ""), (prose, ""), ("permission is granted", ""), ("gnu general public license", ""),
+        ("SPDX-License-Identifier: none", ""), (licenses.GNU.format("general", 4), ""), (" ".join(reversed(apache.split())), ""),
+    ]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(cases)}
+    # a passage with a tenth of its words changed is found for certain while its mandatory phrases are whole
+    rng, changed = random.Random(7), []
+    for label, t, phrases in licenses.PASSAGES:
+        for share in [0.0] + [0.05, 0.1] * 6:
+            ws = " ".join(w if rng.random() >= share else "changed" for w in t.split())
+            changed.append((len(changed), ws, label, all(f" {p} " in f" {ws} " for p in phrases)))
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([c[:2] for c in changed], "doc_id long, text string")).collect()}
+    assert all(label in labels[i] for i, _, label, whole in changed if whole)
+    found = sum(label in labels[i] for i, _, label, _ in changed)
+    print(f"recall with 5 and 10 % of the words changed: {found} of {len(changed)}, phrases whole in {sum(c[3] for c in changed)}")

@@ -6,11 +6,11 @@ import re
 import numpy as np
 import public_tokenizers as P
 from test_jaccard import plain as components
-from test_native import own_spans, plain_quality, plain_spans
+from test_native import own_spans, plain_hosts, plain_live, plain_quality, plain_spans
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from maskloom.llm import queries, quality, secrets
+from maskloom.llm import queries
 from maskloom.llm.shared import cut
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -44,11 +44,8 @@ def test_stages(spark):
         failed, others = n < 10 or 100 * rep > 20 * n, (chars < 2 * n or chars > 16 * n) + (10 * symbols > n) + (100 * dup > 30 * n_lines)
         judged[i] = failed, others
         hosts.setdefault(host, []).append(failed or others > 0)
-    rates = [sum(x) / len(x) for x in hosts.values()]
-    mean = sum(rates) / len(rates)
-    a, b = quality.prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates))
-    bad = {h for h, x in hosts.items() if (sum(x) + a) / (len(x) + a + b) > 0.5}
-    state = {i: x for i, x in state.items() if not (judged[i][0] or judged[i][1] >= 2 or (judged[i][1] and x[1] in bad))}
+    allowed = plain_hosts(hosts)
+    state = {i: x for i, x in state.items() if not (judged[i][0] or judged[i][1] > allowed[x[1]])}
     assert rows[0] == {i: x[0] for i, x in state.items()} and len(rows[0]) < len(corpus())
 
     first, texts = set(), {}
@@ -66,12 +63,9 @@ def test_stages(spark):
     texts = {i: texts[i] for i, _, c in components(data, 5, 80, 100) if i == c}
     assert rows[2] == texts and len(texts) < len(data)
 
-    owners = {}
+    alive = plain_live([(i, t, state[i][1]) for i, t in texts.items()])
     for i, t in texts.items():
-        for s in plain_spans(t) + own_spans(t):
-            owners.setdefault(s[3:], set()).add(state[i][1])
-    for i, t in texts.items():
-        spans, merged = sorted((s[0], s[2]) for s in plain_spans(t) + own_spans(t) if s[1] < 3 or len(owners[s[3:]]) < secrets.WIDE), []
+        spans, merged = sorted((s[0], s[2]) for s in plain_spans(t) + own_spans(t) if s[1] < 3 or s[3:] in alive), []
         for a, b in spans:
             if merged and merged[-1][1] >= a:
                 merged[-1][1] = max(merged[-1][1], b)
@@ -86,3 +80,43 @@ def test_stages(spark):
     for r in sorted(got[4].collect(), key=lambda r: r.start):
         whole.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), "<u4").tolist())
     assert whole == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in texts.items()}
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, `row` string, place int, `whole` string, host int, `text.x` int, id string"
+
+
+def test_stages_with_other_columns_nulls_and_repeats(spark):
+    extra = ("r", 1, "w", 2, 3, "i")
+    data = [(i if i % 9 else None, t, "en", s if i % 7 else None, 0, *extra) for i, t, _, s, _ in corpus()]
+    docs = spark.createDataFrame(data + data[:3], EXTRA)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = docs.count()
+        docs = cut(stage(spark, docs, "other"), name)
+        assert docs.columns == spark.createDataFrame([], EXTRA).columns and 0 < docs.count() <= before
+        assert docs.select("row", "place", "whole", "host", "`text.x`", "id").distinct().collect() == [extra]
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, "other")
+    assert sum(r.doc_tokens for r in pieces.where("start = 0").select("doc_tokens").collect()) == sum(r.length for r in pieces.select("length").collect())
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], EXTRA)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, "empty"), name)
+        assert docs.count() == 0
+
+
+def test_leftovers_go(spark, tmp_path):
+    """After a run nothing is left in the shared folder but the result; a stage's lazy result keeps the tables that it reads."""
+    import os
+
+    from maskloom.llm import shared
+
+    spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = shared.new_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert [x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["packing"]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:2]:  # not written in between
+        docs = stage(spark, docs, "lazy")
+    assert docs.count() > 0

@@ -80,3 +80,33 @@ def test_windows_share_their_anchor():
             assert has[0] == has[1]
             if has[0]:
                 assert parse.name[best[0]] == parse.name[best[1]] and len(set(parse.first[best] - starts)) == 1
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text cut into pieces has the windows and anchors of the whole one, each window once."""
+    rng = random.Random(11)
+    text = " ".join(rng.choice(["a", "b", "c", "dd" * 40]) for _ in range(3000)) + "  " + "e" * 900 + " tail"
+    rows = pa.array([text])
+    windows = lambda out: [(int(p), int(a)) for row, anchor, _, first, last, inside in out for f, z, a, i in zip(first, last, anchor, inside) for p in range(f, z + 1)]
+    whole = windows(substrings.all_blocks(rows, 12, 3))
+    assert len(whole) == len(text.split()) - 11
+    for most in (200, 700, 5000):
+        assert sorted(windows(substrings.all_blocks(rows, 12, 3, most))) == sorted(whole)
+
+
+def test_word_hashes_by_stretches(monkeypatch):
+    words = ["x" * 50, "y", "é" * 33, "z" * 17, "x" * 50]
+    whole = substrings.word_table(pa.array([" ".join(words)]))[0]
+    monkeypatch.setattr(substrings, "STRETCH", 16)
+    substrings.stretch_powers.cache_clear()
+    assert substrings.word_table(pa.array([" ".join(words)]))[0].tolist() == whole.tolist() and whole[0] == whole[4] != whole[1]
+    substrings.stretch_powers.cache_clear()
+
+
+def test_very_long_text(spark):
+    """More than two parts in one text, its second half a copy of the first but for a word."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(500_000)]
+    text = " ".join(words + ["between"] + words)
+    r = substrings.dedup(spark.createDataFrame([(1, text), (2, "short one")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert (r.n_words, r.n_removed, r.text) == (1_000_001, 1_000_000, "between")

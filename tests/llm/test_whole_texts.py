@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from maskloom.llm import bpe, packing, queries, warc, winnowing
@@ -31,14 +32,30 @@ def test_bpe_chunks_of_random_texts():
     rng, enc = random.Random(1), bpe.encoding(queries.RANKS, P.PATTERN)
     for _ in range(200):
         text = "".join(rng.choice(["a", "bc", " ", "  ", "\n", "'ll", "'r", "1", "!!", "é", "\t", "世"]) for _ in range(400))
-        found = [bpe.boundaries(text[i : i + 80], P.PATTERN, [(0, 30 if i else 0), (50, 80)], i + 50 >= len(text)) for i in range(0, len(text), 50)]
-        cuts = [0, *bpe.sync_points(text, found, 50), len(text)]
+        by_seam = {}
+        for i in range(0, len(text), 50):
+            for seam, at, sure in bpe.seams(text[i : i + 80], i // 50, i + 50 >= len(text), P.PATTERN, 50, 30):
+                by_seam.setdefault(seam, []).append((set(at), set(sure)))
+        least = lambda x: min(x, default=None)
+        found = bpe.cuts([(least(a[0] & b[0] & (a[1] | b[1])), least(a[0] & b[0])) for a, b in (by_seam[k] for k in sorted(by_seam))])
+        cuts = [0, *(c for c in found if c is not None), len(text)]
         assert len(cuts) > 3 and sum((enc.encode_ordinary(text[a:b]) for a, b in zip(cuts, cuts[1:])), []) == enc.encode_ordinary(text)
 
 
+def test_bpe_of_long_texts(spark):
+    """Far more than a chunk; a run without a boundary over several chunks; and no texts at all."""
+    rng = random.Random(4)
+    words = lambda n: "".join(rng.choice(["word", " ", "\n\n", "é", "'ll ", "世界", "12", "! "]) for _ in range(n))
+    texts = [words(60_000), words(9_000) + "a" * 90_000 + words(9_000), "\n" * 70_000, words(60_000), None, ""]
+    docs = spark.createDataFrame([(i % 5, t, 0, 0, "x") for i, t in enumerate(texts)], "doc_id long, text string, row int, i int, at string")
+    enc = bpe.encoding(queries.RANKS, P.PATTERN)
+    got = bpe.encode(docs, queries.RANKS, P.PATTERN).collect()
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got) == sorted((i % 5, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in enumerate(texts))
+    assert bpe.encode(docs.limit(0), queries.RANKS, P.PATTERN).count() == 0
+
+
 def test_packing(spark, docs):
     t = Tokenizer.from_file(queries.PACKED)
-    t.encode_special_tokens = True
     pieces = sorted(packing.pack(docs.repartition(3), queries.PACKED, P.PATTERN, length=64).collect(), key=lambda r: (r.sequence_id, r.offset))
     lengths = {}
     for r in pieces:
@@ -57,7 +74,7 @@ def test_packing(spark, docs):
 
 
 def test_added_tokens(spark, monkeypatch):
-    t, enc = Tokenizer.from_file(queries.PACKED), packing.encoder(queries.PACKED, P.PATTERN, True)
+    t, enc = Tokenizer.from_file(queries.PACKED), packing.encoder(queries.PACKED, P.PATTERN)
     texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "<|endoftext|", "it's 12  o'clock <|END|>", " <|endoftext|>\n\n  <|endoftext|>  z"]
     for x in texts:
         assert enc.encode_to_numpy(x, allowed_special="all").tolist() == t.encode(x, add_special_tokens=False).ids
@@ -66,6 +83,46 @@ def test_added_tokens(spark, monkeypatch):
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
 
 
+def plain_hash(gram):
+    """The 40 bits of a gram by the definition: a polynomial of mixed code points, mixed again."""
+    total = 0
+    for c in gram:
+        total = (total * int(winnowing.M) + plain_mixed(ord(c) + 1)) % (1 << 64)
+    return plain_mixed(total) >> 24
+
+
+def plain_mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+    return x ^ (x >> 31)
+
+
+def plain_fingerprint(text, k, w):
+    """Positions and hashes by the definition, window after window."""
+    h = [plain_hash(text[i : i + k]) for i in range(max(1, len(text) - k + 1))] if text else []
+    w, out = min(w, len(h)), {}
+    for s in range(len(h) - w + 1 if h else 0):
+        best = max(range(s, s + w), key=lambda p: (-h[p], p))
+        out[best] = h[best]
+    return out
+
+
+def test_next_document_against_definition(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcd é漢") for _ in range(n)) for n in (0, 1, 7, 8, 9, 23, 24, 60, 200, 333)] + [None, "same text " * 9, "same text " * 9]
+    got = {r.doc_id: r for r in winnowing.with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    plain = [t or "" for t in texts]
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    show = lambda fp: " ".join(f"{h:010x}@{p:x}" for p, h in sorted(fp.items()))
+    for i, t in enumerate(plain):
+        following = plain[(i + 1) % len(plain)]
+        new = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        a, b, c = (plain_fingerprint(x, winnowing.K, winnowing.W) for x in (t, new, following))
+        want = (len(t), hashlib.sha256(new.encode()).hexdigest(), show(a), show(b), like({*a.values()}, {*b.values()}), like({*a.values()}, {*c.values()}))
+        assert tuple(got[i])[1:] == want, i
+    assert got[11].fingerprint == got[12].fingerprint and got[11].near_next == 1.0
+
+
 def plain_winnow(text, k, w):
     h = [winnowing.gram_hashes(text[i : i + k], k)[0] for i in range(max(1, len(text) - k + 1))] if text else []
     w = min(w, len(h))
@@ -136,16 +193,36 @@ def test_warc_round_trip(spark):
 def test_warc_rejects_damage():
     raw = warc.record("response", 1, "u", b"hello", None)
     assert warc.parsed(raw)[:2] == (1, 5)
-    for bad in (raw[:-1], raw.replace(b"hello", b"jello"), raw.replace(b"WARC-Type", b"X"), b"nothing"):
+    revisit = warc.record("revisit", 1, "u", b"hello", 2)
+    bad = [raw[:-1], raw.replace(b"hello", b"jello"), raw.replace(b"WARC-Type", b"X"), b"nothing", raw.replace(b"Content-Length: 5", b"Content-Length: x"), raw.replace(b"sha1:", b"md5:")]
+    bad += [raw.replace(b"urn:uuid:", b"urn:what:"), raw.replace(b"HTTP/1.1", b"XXXX/1.1"), raw.replace(b"WARC-Date: ", b"WARC-Date "), revisit.replace(b"WARC-Refers-To", b"WARC-Refers"), revisit.replace(b"WARC-Payload-Digest", b"X")]
+    for damaged in bad:
         with pytest.raises(ValueError):
-            warc.parsed(bad)
-    import zstandard
-
+            warc.parsed(damaged)
     frame = zstandard.ZstdCompressor().compress(raw * 9000)
     assert warc.frame_end(memoryview(frame), 0) == len(frame)
     assert list(warc.records(frame + frame)) == [raw * 9000] * 2
-    with pytest.raises(ValueError):
-        list(warc.records(frame[:-5]))
+    for cut in (frame[:-5], frame[:3], frame[:20] + b"\0" * 9 + frame[29:]):
+        with pytest.raises(ValueError):
+            list(warc.records(cut))
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Names in any case, records of other kinds, none of the digests, hexadecimal ones; errors tell archive and record."""
+    lower = warc.record("response", 1, "u", b"hello", None).replace(b"WARC-Type", b"warc-type").replace(b"Content-Length: ", b"content-length:", 1)
+    bare = b"\r\n".join(x for x in warc.record("response", 2, "u", b"more", None).split(b"\r\n") if b"Digest" not in x)
+    other = [b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:%032x>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n" % (k, i) for i, k in enumerate((b"warcinfo", b"request", b"metadata"))]
+    digest = hashlib.sha1(b"hello").hexdigest().encode()
+    hexed = b"\r\n".join(b"WARC-Payload-Digest: sha1:" + digest if x.startswith(b"WARC-Payload") else x for x in warc.record("revisit", 3, "u", b"hello", 1).split(b"\r\n"))
+    coder = zstandard.ZstdCompressor()
+    archive = lambda rs: b"".join(map(coder.compress, rs))
+    (tmp_path / "a.warc.zst").write_bytes(archive([other[0], lower, other[1], bare, other[2], hexed]))
+    got = warc.read(spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, got.collect())) == [(1, 5, digest.decode(), "response", None), (2, 4, hashlib.sha1(b"more").hexdigest(), "response", None), (3, 5, digest.decode(), "revisit", 1)]
+    assert warc.dangling(got).count() == 0 and warc.dangling(got.where("page_id <> 1")).count() == 1
+    (tmp_path / "b.warc.zst").write_bytes(archive([lower, bare.replace(b"more", b"less!")]))
+    with pytest.raises(Exception, match="b.warc.zst: record 2: Content-Length"):
+        warc.read(spark, f"file://{tmp_path}").collect()
 
 
 def test_crc_of_pieces(docs):
