@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH = "array<struct<start:int,end:int,text:string>>"
@@ -42,12 +42,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def once(value: Column) -> Column:
-    """A value that the optimizer leaves where it is: it neither inlines it into what uses it nor pushes filters through it.
+def step(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column added or replaced that the optimizer leaves where it is, as a row generated from each row.
 
-    Without this a filter on a result would be rewritten over its whole history, with every step copied for each use of it.
+    As a plain projection a step would be copied into everything that uses it, and a filter on its result rewritten over its whole
+    history. Filters on the other columns go below a generated one, down to the scan.
     """
-    return F.when(F.rand(0) + F.rand(1) >= 0, value)  # one rand compared with a literal would be folded
+    fields = [c for c in df.columns if c != name]
+    made = df.select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.array(value)).alias("maskloom_step"))
+    return made.select(*(F.col(f"`{c}`") for c in fields), F.col("maskloom_step").alias(name))
 
 
 def one_of(c: Column, words: list[str] | tuple[str, ...]) -> Column:
@@ -76,8 +79,29 @@ def sums_before(a: Column) -> Column:
         totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v))
         return let(within(totals), lambda base: F.flatten(F.transform(blocks, lambda b, j: F.transform(within(b), lambda v: v + F.get(base, j)))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda j: F.slice(a, j * BLOCK + 1, BLOCK))
-    return F.when(F.size(a) > 0, let(blocks, joined)).otherwise(empty("array<int>"))
+    return F.when(F.size(a) > 0, let(in_blocks(a), joined)).otherwise(empty("array<int>"))
+
+
+def in_blocks(a: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda j: F.slice(a, j * BLOCK + 1, BLOCK))
+
+
+def folded(a: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """A scan: step(state, element) gives a struct of the next state and out; all outs (of that type) in order.
+
+    Appending to one array would copy all that is there for every element, so it is done by blocks.
+    """
+
+    def within(state: Column, block: Column) -> Column:
+        begin = F.struct(state.alias("state"), empty(f"array<{kind}>").alias("out"))
+        return F.aggregate(block, begin, lambda acc, x: let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))))
+
+    def over(blocks: Column) -> Column:
+        begin = F.struct(start.alias("state"), empty(f"array<array<{kind}>>").alias("out"))
+        joined = lambda acc, r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))
+        return F.flatten(F.aggregate(blocks, begin, lambda acc, b: let(within(acc["state"], b), lambda r: joined(acc, r)), lambda acc: acc["out"]))
+
+    return F.when(F.size(a) > 0, let(in_blocks(a), over)).otherwise(empty(f"array<{kind}>"))
 
 
 def matches(text: Column, pattern: Column | str) -> Column:
@@ -113,6 +137,12 @@ def line_of(starts: Column, at: Column) -> Column:
     return F.size(F.filter(starts, lambda s: s <= at)) - 1
 
 
+def line_col(starts: Column, at: Column) -> Column:
+    """line and col (both from 0) of a position; an error for a negative one."""
+    place = lambda n: F.struct(n.alias("line"), (at - F.get(starts, n)).alias("col"))
+    return F.when(at < 0, F.raise_error(F.lit("a position can't be negative"))).otherwise(let(line_of(starts, at), place))
+
+
 def right_trimmed(s: Column) -> Column:
     return F.regexp_replace(s, r"[)\]};:,.!?»”’>]+$", "")
 

@@ -1,16 +1,17 @@
 """What turns detectors' spans into one set: address blocks, guards, alias and coreference links, and the merge.
 
-Everything is within one document, so these are expressions over arrays: interval joins are ``filter`` and ``exists``, as-of
-lookups take the last match of a sorted array, and the greedy selection is a fold. Nothing is exchanged between tasks.
+Everything is within one document, so these are expressions over arrays. What looks back (as-of lookups, islands, groups of spans
+that overlap) is one scan over sorted spans; interval joins with the few headings, blocks and definitions of a text are ``filter``
+and ``exists``. Nothing is exchanged between tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.text import ANY_EOL, MATCH, contains, empty, headings, let, line_of, lines, listed, matches, one_of, overlaps
+from ..functions.text import ANY_EOL, MATCH, contains, empty, folded, headings, let, lines, listed, matches, one_of, overlaps
 from ..schema import SPANS, Config
 from .detect import by_start, ordered, span
 
@@ -24,31 +25,31 @@ PRONOUN = r"(?iU)\b(?:he|she|they|him|her|them|his|hers|their|theirs)\b"
 def address_blocks(text: Column, spans: Column) -> Column:
     """Adds a block for every town line that lines of street, box or unit stand over, one blank line between them at most.
 
-    Within one document this is gaps and islands over line numbers: from each town the fold walks up while the gap allows.
+    Within one document this is gaps and islands over line numbers: one scan carries the island that could still get its town.
     """
-
-    def of(parts: Column, ls: Column, starts: Column) -> Column:
-        numbered = F.transform(parts, lambda s: F.struct(line_of(starts, s["start"]).alias("line"), s["start"].alias("start"), s["end"].alias("end"), s["subtype"].alias("kind")))
-
-        def up(all_parts: Column, town: Column, i: Column) -> Column:
-            begin = F.struct(town["line"].alias("line"), town["start"].alias("start"), F.lit(1).alias("n"), F.lit(False).alias("stop"))
-
-            def step(acc: Column, p: Column) -> Column:
-                gap = acc["line"] - p["line"]
-                blank = F.trim(F.get(ls, p["line"] + 1)["text"]) == ""
-                joins = ~acc["stop"] & p["kind"].isin("street", "unit", "po_box") & ((gap == 1) | ((gap == 2) & blank))
-                return F.when(joins, F.struct(p["line"].alias("line"), p["start"].alias("start"), (acc["n"] + 1).alias("n"), F.lit(False).alias("stop"))).otherwise(F.struct(acc["line"].alias("line"), acc["start"].alias("start"), acc["n"].alias("n"), F.lit(True).alias("stop")))
-
-            return F.aggregate(F.reverse(F.slice(all_parts, 1, i)), begin, step)
-
-        def block(all_parts: Column, town: Column, i: Column) -> Column:
-            made = lambda w: span(F.struct(w["start"].alias("start"), town["end"].alias("end"), F.substr(text, w["start"] + 1, town["end"] - w["start"]).alias("text")), "ADDRESS_BLOCK", "address_block_merge", 0.99, "block", {"lines": w["n"]})
-            return F.when(town["kind"] == "city_state_zip", let(up(all_parts, town, i), lambda w: F.when(w["n"] >= 2, made(w))))
-
-        return let(numbered, lambda a: F.filter(F.transform(a, lambda t, i: block(a, t, i)), lambda b: b.isNotNull()))
+    island = "struct<line:int,start:int,n:int>"
+
+    def numbered(parts: Column) -> Column:
+        of = lambda s: F.struct(s["attrs"]["line"].cast("int").alias("line"), s["start"].alias("start"), s["end"].alias("end"), s["subtype"].alias("kind"))
+        return F.transform(parts, of)
+
+    def of(parts: Column, ls: Column) -> Column:
+        def step(state: Column, p: Column) -> Column:
+            gap = p["line"] - state["line"]
+            blank = F.trim(F.get(ls, p["line"] - 1)["text"]) == ""
+            on = state.isNotNull() & ((gap == 1) | ((gap == 2) & blank))
+            start, n = F.when(on, state["start"]).otherwise(p["start"]), F.when(on, state["n"] + 1).otherwise(1)
+            grown = F.struct(p["line"].alias("line"), start.alias("start"), n.alias("n")).cast(island)
+            town = p["kind"] == "city_state_zip"
+            done = F.when(town & on, F.struct(start.alias("start"), p["end"].alias("end"), n.alias("n")))
+            return F.struct(F.when(~town, grown).alias("state"), done.cast("struct<start:int,end:int,n:int>").alias("out"))
+
+        found = folded(parts, F.lit(None).cast(island), step, "struct<start:int,end:int,n:int>")
+        whole = lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substr(text, b["start"] + 1, b["end"] - b["start"]).alias("text"))
+        return F.transform(F.filter(found, lambda b: b.isNotNull()), lambda b: span(whole(b), "ADDRESS_BLOCK", "address_block_merge", 0.99, "block", {"lines": b["n"]}))
 
     lined = by_start(F.filter(spans, lambda s: s["source"] == "address_line"))
-    found = let(lined, lambda p: let(lines(text, ANY_EOL), lambda ls: let(F.transform(ls, lambda x: x["start"]), lambda st: of(p, ls, st))))
+    found = let(numbered(lined), lambda p: let(lines(text, ANY_EOL), lambda ls: of(p, ls)))
     return F.concat(spans, F.coalesce(F.when(F.exists(spans, lambda s: s["subtype"] == "city_state_zip"), found), empty(SPANS)).cast(SPANS))
 
 
@@ -75,22 +76,30 @@ def identified(spans: Column, scope: Column, secret: str | None) -> Column:
 def aliases_resolved(text: Column, spans: Column, scope: Column, cfg: Config) -> Column:
     """Gives each alias the entity of its subject, and adds the places after it where the alias stands as a word.
 
-    A subject is the last name that overlaps what the definition states as one, else the nearest name that ends at most NEAR characters
-    before, else what the definition states. An alias counts until the next definition for the same entity.
+    A subject is the first name that overlaps what the definition states as one; if it states none, the nearest name of the same
+    or the previous line that ends at most NEAR characters before the alias, else the first name of the line that was guessed;
+    else what the definition states or guesses. An alias counts until the next definition for the same entity.
     """
 
     def defined(all_spans: Column) -> Column:
         subjects = by_start(F.filter(all_spans, lambda s: one_of(s["label"], SUBJECTS)))
 
-        def linked(d: Column, who: Column) -> Column:
+        def linked(d: Column, who: Column, ls: Column) -> Column:
             a, b = d["attrs"]["subject_start"].cast("int"), d["attrs"]["subject_end"].cast("int")
-            stated = F.try_element_at(F.filter(who, lambda s: (s["start"] < b) & (a < s["end"])), F.lit(-1))["entity_id"]
-            near = F.try_element_at(F.filter(who, lambda s: (s["end"] <= d["start"]) & (d["start"] - s["end"] <= NEAR)), F.lit(-1))["entity_id"]
-            own = entity(F.coalesce(d["attrs"]["subject_text"], d["text"]), scope, cfg.secret)
-            return d.withField("entity_id", F.coalesce(stated, near, own))
+            stated = F.get(F.filter(who, lambda s: (s["start"] < b) & (a < s["end"])), 0)["entity_id"]
+            far = lambda s: F.greatest(d["start"] - s["end"], F.lit(0))
+            breaks = lambda s: F.size(F.split(F.substr(text, s["start"] + 1, F.greatest(d["start"] - s["start"], F.lit(0))), ANY_EOL, -1)) - 1
+            line_end = F.get(F.filter(ls, lambda x: x["end"] >= d["end"]), 0)["end"]
+            close = F.filter(who, lambda s: (far(s) <= NEAR) & (s["start"] <= line_end))
+            close = F.filter(close, lambda s: breaks(s) <= 1)
+            near = F.get(F.array_sort(F.transform(close, lambda s, i: F.struct(far(s).alias("far"), i.alias("i"), s["entity_id"].alias("id")))), 0)["id"]
+            line = F.get(ls, d["attrs"]["subject_guess_line"].cast("int"))
+            guessed = F.get(F.filter(who, lambda s: (s["start"] < line["end"]) & (line["start"] < s["end"])), 0)["entity_id"]
+            own = entity(F.coalesce(d["attrs"]["subject_text"], d["attrs"]["subject_guess"], d["text"]), scope, cfg.secret)
+            return d.withField("entity_id", F.when(a.isNotNull(), F.coalesce(stated, own)).otherwise(F.coalesce(near, guessed, own)))
 
         is_alias = lambda s: s["label"] == "ALIAS_LABEL"
-        return let(subjects, lambda who: F.transform(all_spans, lambda s: F.when(is_alias(s), linked(s, who)).otherwise(s)))
+        return let(subjects, lambda who: let(lines(text, ANY_EOL), lambda ls: F.transform(all_spans, lambda s: F.when(is_alias(s), linked(s, who, ls)).otherwise(s))))
 
     def mentions(all_spans: Column) -> Column:
         defs = by_start(F.filter(all_spans, lambda s: s["label"] == "ALIAS_LABEL"))
@@ -112,37 +121,68 @@ def aliases_resolved(text: Column, spans: Column, scope: Column, cfg: Config) ->
 
 def coreferences(text: Column, spans: Column) -> Column:
     """start, end, text, entity_id: pronouns, each linked with the last person before it (a carry-forward over positions)."""
-    people = by_start(F.filter(spans, lambda s: s["label"] == "PERSON"))
+    kind = "struct<start:int,end:int,text:string,entity_id:string>"
+    event = lambda at, side, x, who: F.struct(at.alias("at"), F.lit(side).alias("side"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), who.alias("who"))
+    people = F.transform(F.filter(spans, lambda s: s["label"] == "PERSON"), lambda p: event(p["end"], 0, p, p["entity_id"]))
+    pronouns = F.transform(matches(text, PRONOUN), lambda m: event(m["start"], 1, m, F.lit(None).cast("string")))
 
-    def of(ps: Column) -> Column:
-        last = lambda m: F.element_at(F.filter(ps, lambda p: p["end"] <= m["start"]), -1)
-        linked = F.transform(matches(text, PRONOUN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.when(F.exists(ps, lambda p: p["end"] <= m["start"]), last(m)["entity_id"]).alias("entity_id")))
-        return F.filter(linked, lambda m: m["entity_id"].isNotNull())
+    def step(who: Column, e: Column) -> Column:
+        linked = F.struct(e["start"].alias("start"), e["end"].alias("end"), e["text"].alias("text"), who.alias("entity_id"))
+        person = e["side"] == 0
+        return F.struct(F.when(person, e["who"]).otherwise(who).alias("state"), F.when(~person & who.isNotNull(), linked).cast(kind).alias("out"))
 
-    return F.when(F.exists(spans, lambda s: s["label"] == "PERSON"), let(people, of)).otherwise(empty("array<struct<start:int,end:int,text:string,entity_id:string>>"))
+    run = F.filter(folded(F.array_sort(F.concat(people, pronouns)), F.lit(None).cast("string"), step, kind), lambda m: m.isNotNull())
+    return F.when(F.exists(spans, lambda s: s["label"] == "PERSON"), run).otherwise(empty(f"array<{kind}>"))
 
 
 def surnames_joined(spans: Column) -> Column:
-    """Persons of whose name only the last word stands get the entity of the last person before that ends with it."""
-    tail = lambda s: F.lower(F.element_at(F.split(s["text"], r"(?U)\s+"), -1))
+    """Persons of whose name only the last word stands get the entity of the person before, of those with that last word the one
+    that ended first. One scan over all persons in order of last words."""
+    state, tail = "struct<tail:string,end:int,id:string>", lambda s: F.lower(F.element_at(F.split(s["text"], r"(?U)\s+"), -1))
+    people = lambda ss: F.filter(F.transform(ss, lambda s, i: F.when(s["label"] == "PERSON", F.struct(tail(s).alias("tail"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), s["entity_id"].alias("id")))), lambda x: x.isNotNull())
 
-    def of(ss: Column) -> Column:
-        def joined(s: Column) -> Column:
-            fuller = F.filter(ss, lambda p: (p["label"] == "PERSON") & (p["end"] <= s["start"]) & (tail(p) == tail(s)))
-            return F.when((s["label"] == "PERSON") & (F.size(fuller) > 0), s.withField("entity_id", F.element_at(fuller, 1)["entity_id"])).otherwise(s)
+    def step(first: Column, p: Column) -> Column:
+        same = F.coalesce(first["tail"] == p["tail"], F.lit(False))
+        new = ~same | (p["end"] < first["end"])
+        out = F.when(same & (first["end"] <= p["start"]), F.struct(p["i"].alias("i"), first["id"].alias("id")))
+        return F.struct(F.when(new, F.struct(p["tail"].alias("tail"), p["end"].alias("end"), p["id"].alias("id"))).otherwise(first).cast(state).alias("state"), out.cast("struct<i:int,id:string>").alias("out"))
 
-        return F.transform(ss, joined)
+    def of(ss: Column) -> Column:
+        joined = F.filter(folded(F.array_sort(people(ss)), F.lit(None).cast(state), step, "struct<i:int,id:string>"), lambda x: x.isNotNull())
+        ids = F.map_from_entries(F.transform(joined, lambda x: F.struct(x["i"], x["id"])))
+        return let(ids, lambda m: F.transform(ss, lambda s, i: s.withField("entity_id", F.coalesce(F.try_element_at(m, i), s["entity_id"]))))
 
     return let(by_start(spans), of)
 
 
+def clusters(df: DataFrame, spans_col: str = "spans", id_col: str = "doc_id") -> DataFrame:
+    """A row per document and entity: what it is called, as what, its aliases and role aliases, and how often it is mentioned."""
+    s = df.select(id_col, F.explode(F.filter(spans_col, lambda s: s["entity_id"].isNotNull())).alias("s")).select(id_col, "s.*")
+    is_alias, kind = F.col("label") == "ALIAS_LABEL", F.when(F.col("label") == "PERSON", "person").when(F.col("label").isin("ORG", "BANK_ORG"), "org")
+    texts = lambda rule: F.array_sort(F.collect_set(F.when(rule, F.col("text"))))
+    first = F.min(F.when(~is_alias, F.struct("start", "text", kind.alias("kind"))))
+    return s.groupBy(id_col, "entity_id").agg(
+        first["text"].alias("primary_surface"), F.coalesce(first["kind"], F.lit("unknown")).alias("kind"), texts(~is_alias).alias("surfaces"),
+        texts(is_alias & (F.col("subtype") != "role")).alias("aliases"), texts(is_alias & (F.col("subtype") == "role")).alias("role_aliases"), F.count("*").alias("mentions"),
+    )
+
+
 def merged(spans: Column, cfg: Config) -> Column:
     """Spans that don't overlap: by precedence of labels, then length, confidence, start, label and source, each if it is free.
 
-    Spans of one range and label need no step of their own: the most confident of the smallest source comes first.
+    Spans of one range and label need no step of their own: the most confident of the smallest source comes first. Spans that
+    overlap, directly or through others, stand together in order of start; the choice is made within each such group.
     """
     order = listed(cfg.precedence)
     rank = lambda s: F.coalesce(F.nullif(F.array_position(order, s["label"]).cast("int"), F.lit(0)), F.lit(10_000))
     by = (rank, lambda s: s["start"] - s["end"], lambda s: -F.round(s["confidence"], 6), lambda s: s["start"], lambda s: s["label"], lambda s: s["source"])
-    step = lambda kept, c: F.when(F.exists(kept, lambda k: overlaps(k, c)), kept).otherwise(F.array_append(kept, c))
-    return by_start(F.aggregate(ordered(F.filter(spans, lambda s: s["end"] > s["start"]), *by), empty(SPANS), step))
+    choose = lambda kept, c: F.when(F.exists(kept, lambda k: overlaps(k, c)), kept).otherwise(F.array_append(kept, c))
+    chosen = lambda g: F.when(F.size(g) == 1, g).otherwise(by_start(F.aggregate(ordered(g, *by), empty(SPANS), choose)))
+
+    def of(ss: Column) -> Column:
+        reach = folded(F.transform(ss, lambda s: s["end"]), F.lit(0), lambda r, end: F.struct(F.greatest(r, end).alias("state"), r.alias("out")), "int")
+        heads = lambda ends: F.filter(F.transform(ss, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ends, i)), i)), lambda i: i.isNotNull())
+        groups = lambda hs: F.transform(hs, lambda h, j: F.slice(ss, h + 1, F.coalesce(F.get(hs, j + 1), F.size(ss)) - h))
+        return let(reach, lambda ends: let(heads(ends), lambda hs: F.flatten(F.transform(groups(hs), lambda g: let(g, chosen)))))
+
+    return F.coalesce(let(by_start(F.filter(spans, lambda s: s["end"] > s["start"])), of), empty(SPANS))

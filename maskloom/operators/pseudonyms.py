@@ -2,19 +2,18 @@
 
 A name's letters are taken word by word: every run of letters gets another word in its case, and what stands between the runs
 stays, so initials, hyphens, apostrophes and line breaks keep their places. Numbers keep their length and separators and pass
-the checks of their kind. The same seed gives the same pseudonym; it never equals its source, for a second draw follows if so.
+the checks of their kind. The same seed gives the same pseudonym. ``unsafe`` says what can't stand for a span, first of all the
+span's own text; the plan draws again then, and takes a placeholder in the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.text import let, listed, match_case, one_of
-from .detect import STATES, STREET_TYPES, date_of
+from .detect import EIN_PREFIXES, STATES, STREET_TYPES, date_of
 
 GIVEN = "Avery Blake Corin Dara Ellis Farah Glenn Harlow Imre Jules Kiran Linden Marlo Nadia Orin Perrin Quill Rumi Soren Tamsin Uri Vesna Wyatt Xenia Yara Zubin Anouk Bram Celia Dov Edda Fenn Greta Hugo Ines Joss Katya Lorne Mina Niall".split()
 FAMILY = "Abbot Barlow Calder Draper Eastman Fielding Garner Holloway Ingram Jarvis Kendrick Langley Mercer Norwood Oakes Pemberton Quincy Radley Selby Thorne Underhill Vance Whitlock Yardley Ashdown Bristow Crane Dunmore Everard Fairfax Goddard Hartwell Ivers Jessop Kerrigan Lockwood Marsden Nettleton Ormond Prescott".split()
@@ -25,7 +24,9 @@ TOWNS = "Ashford Bellmead Carrick Dunmore Elmsley Fernhill Glenwood Hartley Inve
 TITLES = "mr ms mrs mx dr prof hon sir dame lord lady rev fr judge justice jr sr ii iii iv esq esquire phd md jd llm cpa de del della di da van von der den dos das du la le of bin bint ibn".split()
 FORMS = "inc llc llp ltd limited plc corp corporation company co na nv sa usa bank trust credit union national association and of the n a".split()
 PLACES = [w.lower() for w in STREET_TYPES.split("|")] + "n s e w ne nw se sw north south east west suite ste apt apartment unit floor fl rm room p o po box".split()
-SAFE_DOMAIN = "example.org"
+SAFE_DOMAIN, SAFE_DOMAINS = "example.org", ["example.org", "example.com", "example.net"]
+#: Digits of numbers that can't be anyone's: exchange or area 555.
+SAFE_NUMBER = r"^1555\d*$|^1?\d{3}555\d*$|^555\d{4}$"
 CARD_PREFIXES = {"visa": "444000", "mastercard": "555000", "amex": "343000", "discover": "601100"}
 
 
@@ -133,7 +134,38 @@ def digits(source: Column, seed: Column) -> Column:
     return keys.poured(source, keys.digits(seed, F.length(source)))
 
 
-def different(source: Column, seed: Column, make: Callable[[Column], Column]) -> Column:
-    """make(seed), or made from another seed where that is the source again."""
-    again = keys.hmac_sha256(F.concat(seed, F.lit(":1")), None)
-    return let(make(seed), lambda x: F.when(x == source, make(again)).otherwise(x))
+def ein(source: Column, seed: Column) -> Column:
+    """A prefix of the list, then seven digits."""
+    prefix = F.get(listed(EIN_PREFIXES), keys.draw(seed, 1, len(EIN_PREFIXES)))
+    return keys.poured(source, F.concat(prefix, keys.digits(seed, F.lit(7), 10)))
+
+
+def placeholder(label: Column, seed: Column) -> Column:
+    """A token that says what stood there, for spans that no pseudonym fits: PERSON_..., ACCT_... and the like."""
+    token = F.upper(keys.base32(seed, 12))
+    forms = {"PERSON": "PERSON_", "ORG": "ORG_", "BANK_ORG": "BANK_", "ADDRESS_BLOCK": "ADDRESS_", "ACCOUNT_ID": "ACCT_", "ALIAS_LABEL": "ALIAS_"}
+    name = F.coalesce(*(F.when(label == k, v) for k, v in forms.items()), F.lit("X_"))
+    number = F.concat(F.lit("+1555"), keys.digits(seed, F.lit(7)))
+    return F.when(label == "EMAIL", F.concat(F.lit("u"), F.lower(token), F.lit("@" + SAFE_DOMAIN))).when(label == "PHONE", number).otherwise(F.concat(name, token))
+
+
+def unsafe(s: Column, x: Column) -> Column:
+    """Why a replacement can't stand for a span: the first rule that it breaks, or null."""
+    label, kind = s["label"], s["subtype"]
+    number, own = F.regexp_replace(x, "[^0-9]", ""), F.regexp_replace(s["text"], "[^0-9]", "")
+    account = lambda k: (label == "ACCOUNT_ID") & F.coalesce(kind == k, F.lit(False))
+    domain = F.substring_index(x, "@", -1)
+    rules = [
+        ("matches_source", x == s["text"]),
+        ("non_ascii_domain", (label == "EMAIL") & domain.rlike("[^ -~]")),
+        ("unsafe_domain", (label == "EMAIL") & ~F.lower(domain).isin(*SAFE_DOMAINS)),
+        ("empty_local", (label == "EMAIL") & x.startswith("@")),
+        ("unsafe_non_555", (label == "PHONE") & ~number.rlike(SAFE_NUMBER) & (F.length(number) >= 7)),
+        ("invalid_digit_count", (label.isin("PHONE") | account("cc") | account("routing_aba") | account("ssn") | account("ein")) & (F.length(number) != F.length(own))),
+        ("luhn_invalid", account("cc") & ~keys.luhn_valid(number)),
+        ("aba_invalid", account("routing_aba") & ~keys.aba_valid(number)),
+        ("iban_invalid", account("iban") & ~keys.iban_valid(F.upper(F.regexp_replace(x, " ", "")))),
+        ("ssn_invalid", account("ssn") & number.rlike(r"^(?:000|666|9)|^\d{3}00|0000$")),
+        ("unsafe_bic", account("swift_bic") & ~x.rlike("^[A-Z]{4}[A-Za-z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?$")),
+    ]
+    return F.coalesce(*(F.when(c, F.lit(name)) for name, c in rules), F.lit(None).cast("string"))

@@ -5,42 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import empty, let, once, one_of, overlaps
+from ..functions.text import ANY_EOL, empty, folded, let, one_of, step
 from ..schema import FINDINGS, PLAN, WEIGHTS, Config
 from .detect import ROLES, by_start, detect
 from .plan import new_starts
+from .pseudonyms import SAFE_DOMAINS
 
-SAFE_DOMAINS = ["example.org", "example.com", "example.net"]
 SAFE_PHONE = r"^\+?1555\d{7}$|^1?\d{3}555\d{4,}$"
 
 
 def findings(found: Column, plan: Column, cfg: Config) -> Column:
     """Findings by start, each with the reason why it is ignored, or null.
 
-    A finding equal to a replacement of its label is ignored as often as the plan has that replacement (a difference of bags:
-    the n-th finding of a text against the number of entries). One that meets a replaced place is part of our own text.
+    A finding equal to a replacement of its label is ignored as often as the plan has that replacement (a difference of bags). One
+    that lies within a replaced place is part of our own text; one that only meets such a place is not, for what is left of a
+    name that was replaced in part joins the pseudonym there. Both are scans over findings and entries sorted together.
     """
-
-    def of(fs: Column, e: Column, places: Column) -> Column:
-        def reason(f: Column, i: Column) -> Column:
-            same = lambda x: (x["label"] == f["label"]) & (x["text"] == f["text"])
-            nth = F.size(F.filter(F.slice(fs, 1, i + 1), same))
-            ours = F.size(F.filter(e, lambda x: (x["label"] == f["label"]) & (x["replacement"] == f["text"])))
+    flag = "struct<i:int,yes:boolean>"
+    picked = lambda outs: F.transform(F.array_sort(F.filter(outs, lambda x: x.isNotNull())), lambda x: x["yes"])
+    said = lambda f, yes: F.when(f["i"] >= 0, F.struct(f["i"].alias("i"), F.coalesce(yes, F.lit(False)).alias("yes"))).cast(flag)
+
+    def ours(fs: Column, e: Column) -> Column:
+        """For each finding whether an entry's replacement is left for it: entries of a text come before its findings."""
+        entry = F.transform(e, lambda x: F.struct(x["label"].alias("label"), x["replacement"].alias("text"), F.lit(-1).alias("i")))
+        finding = F.transform(fs, lambda f, i: F.struct(f["label"].alias("label"), f["text"].alias("text"), i.alias("i")))
+        state = "struct<label:string,text:string,left:int>"
+
+        def step(acc: Column, x: Column) -> Column:
+            same = F.coalesce((acc["label"] == x["label"]) & (acc["text"] == x["text"]), F.lit(False))
+            left = F.when(same, acc["left"]).otherwise(0)
+            now = F.when(x["i"] < 0, left + 1).otherwise(F.greatest(left - 1, F.lit(0)))
+            return F.struct(F.struct(x["label"].alias("label"), x["text"].alias("text"), now.alias("left")).cast(state).alias("state"), said(x, left > 0).alias("out"))
+
+        return picked(folded(F.array_sort(F.concat(entry, finding)), F.lit(None).cast(state), step, flag))
+
+    def inside(fs: Column, places: Column) -> Column:
+        """For each finding whether a place holds it: places don't overlap, so only the last that begins before it can."""
+        place = F.transform(places, lambda p: F.struct(p["start"].alias("start"), F.lit(-1).alias("i"), p["end"].alias("end")))
+        finding = F.transform(fs, lambda f, i: F.struct(f["start"].alias("start"), i.alias("i"), f["end"].alias("end")))
+        step = lambda end, x: F.struct(F.when(x["i"] < 0, x["end"]).otherwise(end).alias("state"), said(x, x["end"] <= end).alias("out"))
+        return picked(folded(F.array_sort(F.concat(place, finding)), F.lit(0), step, flag))
+
+    def of(fs: Column, e: Column, same: Column, within: Column) -> Column:
+        lines = F.flatten(F.transform(F.filter(e, lambda x: x["label"] == "ADDRESS_BLOCK"), lambda x: F.filter(F.transform(F.split(x["replacement"], ANY_EOL, -1), F.rtrim), lambda t: t != "")))
+
+        def reason(f: Column, i: Column, block_lines: Column) -> Column:
             number = F.regexp_replace(f["text"], "[^0-9+]", "")
             rules = [
-                ("replacement_match", nth <= ours), ("in_replacement", F.exists(places, lambda p: overlaps(p, f))),
+                ("replacement_match", F.get(same, i)),
+                ("replacement_match_block_line", (f["label"] == "ADDRESS_BLOCK") & F.array_contains(block_lines, F.rtrim(f["text"]))),
+                ("in_replacement", F.get(within, i)),
                 ("safe_domain", (f["label"] == "EMAIL") & F.lower(F.element_at(F.split(f["text"], "@"), -1)).isin(SAFE_DOMAINS)),
                 ("safe_number", (f["label"] == "PHONE") & number.rlike(SAFE_PHONE)),
+                ("token_account", (f["label"] == "ACCOUNT_ID") & f["text"].startswith("ACCT_")),
                 ("policy_keep_roles", F.lit(cfg.alias_labels == "keep_roles") & (f["label"] == "ALIAS_LABEL") & one_of(f["text"], ROLES)),
                 ("policy_preserve_date", F.lit(not cfg.generic_dates) & (f["label"] == "DATE_GENERIC")),
-            ]
+            ]
             return F.coalesce(*(F.when(c, n) for n, c in rules))
 
-        return F.transform(fs, lambda f, i: F.struct(*(f[c].alias(c) for c in ("start", "end", "text", "label", "confidence")), reason(f, i).alias("ignored")))
+        columns = ("start", "end", "text", "label", "confidence")
+        return let(lines, lambda ls: F.transform(fs, lambda f, i: F.struct(*(f[c].alias(c) for c in columns), reason(f, i, ls).alias("ignored"))))
 
     kept = by_start(F.filter(found, lambda s: s["confidence"] >= cfg.min_confidence))
-    places = lambda e: let(new_starts(e), lambda at: F.transform(e, lambda x, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(x["replacement"])).alias("end"))))
-    run = let(kept, lambda fs: let(F.filter(F.array_sort(plan), lambda x: ~x["skip"]), lambda e: let(places(e), lambda ps: of(fs, e, ps))))
+    place = lambda at, e: F.transform(e, lambda x, i: F.struct(F.get(at, i).alias("start"), (F.get(at, i) + F.length(x["replacement"])).alias("end"), x["skip"].alias("skip")))
+    places = lambda e: F.filter(let(new_starts(e), lambda at: place(at, e)), lambda p: ~p["skip"])
+    entries = lambda e: F.filter(e, lambda x: ~x["skip"])
+    flags = lambda fs, e, ps: let(ours(fs, e), lambda a: let(inside(fs, ps), lambda b: of(fs, e, a, b)))
+    run = let(kept, lambda fs: let(F.array_sort(plan), lambda e: let(places(e), lambda ps: let(entries(e), lambda es: flags(fs, es, ps)))))
     return F.coalesce(F.when(F.size(found) > 0, run), empty(FINDINGS)).cast(FINDINGS)
 
 
@@ -63,20 +94,26 @@ def report(found: Column, cfg: Config) -> Column:
 def scan(df: DataFrame, text_col: str, plan_col: str | None, cfg: Config) -> DataFrame:
     """Adds findings and report: the detectors over a text once more, without merging. Without a plan nothing is ours."""
     plan = F.col(plan_col) if plan_col else F.array()
-    out = df.withColumn("found", once(detect(text_col, cfg))).withColumn("findings", once(findings(F.col("found"), plan.cast(PLAN), cfg))).drop("found")
+    out = step(step(df, "found", detect(text_col, cfg)), "findings", findings(F.col("found"), plan.cast(PLAN), cfg)).drop("found")
     return out.withColumn("report", report(F.col("findings"), cfg))
 
 
 def audit_entries(df: DataFrame, id_col: str = "doc_id", plan_col: str = "plan") -> DataFrame:
     """A row per entry of each plan: id (r0001 ...), offsets before and after, texts, flags, difference in length."""
     at = df.select(id_col, F.posexplode(let(F.array_sort(plan_col), lambda e: let(new_starts(e), lambda n: F.transform(e, lambda x, i: F.struct(x.alias("e"), F.get(n, i).alias("at")))))).alias("i", "x"))
-    return at.select(id_col, F.format_string("r%04d", F.col("i") + 1).alias("id"), "x.e.start", "x.e.end", F.col("x.at").alias("new_start"), "x.e.label", "x.e.source", "x.e.subtype", "x.e.entity_id", F.col("x.e.original").alias("original_text"), F.col("x.e.replacement").alias("replacement_text"), F.col("x.e.skip").alias("skip_replacement"), (F.length("x.e.replacement") - F.col("x.e.end") + F.col("x.e.start")).alias("length_delta"))
+    return at.select(id_col, F.format_string("r%04d", F.col("i") + 1).alias("id"), "x.e.start", "x.e.end", F.col("x.at").alias("new_start"), "x.e.label", "x.e.source", "x.e.subtype", "x.e.entity_id", F.col("x.e.original").alias("original_text"), F.col("x.e.replacement").alias("replacement_text"), F.col("x.e.skip").alias("skip_replacement"), F.col("x.e.retries").alias("safety_retries"), F.col("x.e.reason").alias("unsafe_rejected"), (F.length("x.e.replacement") - F.col("x.e.end") + F.col("x.e.start")).alias("length_delta"))
 
 
 def audit_summary(entries: DataFrame, *by: str) -> DataFrame:
-    """Counts by label and in all (label null): entries, differences in length, kept ones. by: columns to keep apart. No entries, no row."""
+    """Counts by label and in all (label null): entries, differences in length, kept ones, draws that were rejected for safety and
+    entries with such. by: columns to keep apart. No entries, no row."""
     groups = entries.groupingSets([[*by, "label"], [*by]], *by, "label")
-    return groups.agg(F.count("*").alias("entries"), F.sum("length_delta").alias("length_delta"), F.count_if("skip_replacement").alias("kept"))
+    return groups.agg(F.count("*").alias("entries"), F.sum("length_delta").alias("length_delta"), F.count_if("skip_replacement").alias("kept"), F.sum("safety_retries").alias("safety_retries"), F.count_if(F.col("safety_retries") > 0).alias("retried"))
+
+
+def document_audit(df: DataFrame, secret: str | None, id_col: str = "doc_id") -> DataFrame:
+    """A row per document: the hash of its normalised text, whether a secret was used, and its numbers of entries and residuals."""
+    return df.select(id_col, F.sha2("norm", 256).alias("doc_hash"), F.lit(bool(secret)).alias("seed_present"), F.size("plan").alias("entries"), "report.residual_count", "report.score")
 
 
 def leaking(df: DataFrame, secret: str | None, columns: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def found(df: DataFrame, detector: str, cfg: Config = CFG) -> DataFrame:
     """The spans of one detector, a row each."""
-    df = df.select("id", text.once(detect.detect("text", cfg, (detector,))).alias("s"))
+    df = text.step(df.select("id", "text"), "s", detect.detect("text", cfg, (detector,)))
     return df.select("id", F.inline(F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("found"), s["label"].alias("label"), s["subtype"].alias("subtype"), s["attrs"]["normalized"].alias("normalized")))))
 
 
@@ -98,7 +98,7 @@ def bank_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def address_blocks(spark: SparkSession, d: str) -> DataFrame:
     df = made(spark, d, "customer", "c_custkey", "concat('To\n', c_custkey, ' Main St\nSuite ', c_nationkey + 1, '\n\nSpringfield, IL ', lpad(c_custkey, 5, '0'), '\nend')")
-    out = df.withColumn("found", text.once(detect.detect("text", CFG, ("address_line",)))).select("id", F.inline(link.address_blocks(F.col("text"), F.col("found"))))
+    out = text.step(df, "found", detect.detect("text", CFG, ("address_line",))).select("id", F.inline(link.address_blocks(F.col("text"), F.col("found"))))
     return out.where("source = 'address_block_merge'").select("id", "start", "end", F.col("text").alias("found"))
 
 
@@ -126,7 +126,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_spans(spark: SparkSession, d: str) -> DataFrame:
-    out = texts(spark, d).withColumn("found", text.once(detect.detect("text", CFG))).withColumn("spans", text.once(link.merged(F.col("found"), CFG)))
+    out = text.step(text.step(texts(spark, d), "found", detect.detect("text", CFG)), "spans", link.merged(F.col("found"), CFG))
     return out.select("id", F.inline("spans")).select("id", "start", "end", "label", "source")
 
 

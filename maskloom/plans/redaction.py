@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import Scope
-from ..functions.text import normalized, once, quick_building
+from ..functions.text import normalized, quick_building, step
 from ..operators import link, verify
 from ..operators.compose import composed
 from ..operators.detect import detect
@@ -16,21 +16,20 @@ from ..schema import Config
 
 def spans_of(df: DataFrame, cfg: Config, text_col: str = "norm") -> DataFrame:
     """Adds scope and spans: found, blocked, guarded, linked and merged."""
-    text = F.col(text_col)
-    out = df.withColumn("scope", once(Scope(cfg.secret, cfg.cross_doc_consistency).of(F.coalesce(text, F.lit("")))))
-    out = out.withColumn("found", once(detect(text_col, cfg)))
-    out = out.withColumn("found", once(link.address_blocks(text, F.col("found"))))
-    out = out.withColumn("found", once(link.guarded(text, F.col("found"), cfg))).withColumn("found", once(link.identified(F.col("found"), F.col("scope"), cfg.secret)))
-    out = out.withColumn("found", once(link.aliases_resolved(text, F.col("found"), F.col("scope"), cfg)))
-    if cfg.coref:
-        out = out.withColumn("found", once(link.surnames_joined(F.col("found"))))
-    return out.withColumn("spans", once(link.merged(F.col("found"), cfg))).drop("found")
+    text, found, scope = F.col(text_col), F.col("found"), F.col("scope")
+    out = step(df, "scope", Scope(cfg.secret, cfg.cross_doc_consistency).of(F.coalesce(text, F.lit(""))))
+    steps = [detect(text_col, cfg, cfg.detectors or None), link.address_blocks(text, found), link.guarded(text, found, cfg), link.identified(found, scope, cfg.secret), link.aliases_resolved(text, found, scope, cfg)]
+    for value in steps + ([link.surnames_joined(found)] if cfg.coref else []):
+        out = step(out, "found", value)
+    return step(out, "spans", link.merged(found, cfg)).drop("found")
 
 
 def redact(df: DataFrame, cfg: Config | None = None, text_col: str = "text", check: bool = True) -> DataFrame:
     """Adds norm, spans, plan and redacted and, with check, findings and report, to the columns of df.
 
-    A null text counts as empty. Columns of these names in df are replaced.
+    A null text counts as empty. Columns of these names in df are replaced. A filter on df's own columns, before or after, reaches
+    the scan. What is added is made for every row that is left, whether it is selected or not: without need for findings and
+    report, leave the check out.
     """
     cfg = cfg or Config()
     with quick_building():
@@ -38,10 +37,10 @@ def redact(df: DataFrame, cfg: Config | None = None, text_col: str = "text", che
 
 
 def redacted(df: DataFrame, cfg: Config, text_col: str, check: bool) -> DataFrame:
-    out = df.withColumn("norm", once(normalized(composed(F.coalesce(F.col(text_col), F.lit(""))))))
+    out = step(df, "norm", normalized(composed(F.coalesce(F.col(text_col), F.lit("")))))
     out = spans_of(out, cfg)
-    out = out.withColumn("plan", once(planned(F.col("spans"), F.col("scope"), cfg))).drop("scope")
-    out = out.withColumn("redacted", once(applied(F.col("norm"), F.col("plan"))))
+    out = step(out, "plan", planned(F.col("spans"), F.col("scope"), cfg)).drop("scope")
+    out = step(out, "redacted", applied(F.col("norm"), F.col("plan")))
     return verify.scan(out, "redacted", "plan", cfg) if check else out
 
 

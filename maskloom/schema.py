@@ -13,7 +13,7 @@ WEIGHTS = {"PERSON": 3, "ADDRESS_BLOCK": 3, "DOB": 3, "EMAIL": 3, "ACCOUNT_ID":
 #: start and end in code points, half-open; subtype is what a detector tells apart within a label.
 SPAN = "struct<start:int,end:int,text:string,label:string,source:string,confidence:double,subtype:string,attrs:map<string,string>,entity_id:string>"
 SPANS = f"array<{SPAN}>"
-PLAN = "array<struct<start:int,end:int,original:string,replacement:string,label:string,subtype:string,source:string,entity_id:string,skip:boolean>>"
+PLAN = "array<struct<start:int,end:int,original:string,replacement:string,label:string,subtype:string,source:string,entity_id:string,skip:boolean,retries:int,reason:string>>"
 FINDINGS = "array<struct<start:int,end:int,text:string,label:string,confidence:double,ignored:string>>"
 
 
@@ -31,6 +31,8 @@ class Config:
     fail_on_residual: bool = True
     min_confidence: float = 0.5
     ner: bool = True
+    #: Names of the detectors to use; all if empty.
+    detectors: tuple[str, ...] = ()
     coref: bool = False
     generic_ids: bool = True
     #: Without it any word of eight letters with a country's letters at its fifth place would be a bank code.
@@ -74,8 +76,8 @@ def load(path: str | None = None, env: dict[str, str] | None = None, overrides:
     given = merged(given, overrides or {})
     if unknown := set(given) - {f.name for f in fields(Config)}:
         raise ValueError(f"unknown keys: {sorted(unknown)}")
-    if "precedence" in given:
-        given["precedence"] = tuple(given["precedence"])
+    for name in {"precedence", "detectors"} & set(given):
+        given[name] = tuple(given[name])
     cfg = Config(**given)
     found = (os.environ if env is None else env).get(cfg.secret_env)
     return cfg.but(secret=found) if found else cfg

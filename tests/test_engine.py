@@ -115,9 +115,10 @@ def test_evaluation(spark):
 
 
 def test_audit_summary(spark):
-    df = spark.createDataFrame([(1, "EMAIL", 3, False), (1, "EMAIL", -1, True), (1, "PHONE", 0, False), (2, "PHONE", 5, False)], "doc_id long, label string, length_delta int, skip_replacement boolean")
-    assert {tuple(r) for r in verify.audit_summary(df).collect()} == {("EMAIL", 2, 2, 1), ("PHONE", 2, 5, 0), (None, 4, 7, 1)}
-    assert {tuple(r) for r in verify.audit_summary(df, "doc_id").collect()} == {(1, "EMAIL", 2, 2, 1), (1, "PHONE", 1, 0, 0), (1, None, 3, 2, 1), (2, "PHONE", 1, 5, 0), (2, None, 1, 5, 0)}
+    df = spark.createDataFrame([(1, "EMAIL", 3, False, 0), (1, "EMAIL", -1, True, 2), (1, "PHONE", 0, False, 1), (2, "PHONE", 5, False, 0)], "doc_id long, label string, length_delta int, skip_replacement boolean, safety_retries int")
+    assert {tuple(r) for r in verify.audit_summary(df).collect()} == {("EMAIL", 2, 2, 1, 2, 1), ("PHONE", 2, 5, 0, 1, 1), (None, 4, 7, 1, 3, 2)}
+    by_doc = {tuple(r) for r in verify.audit_summary(df, "doc_id").collect()}
+    assert by_doc == {(1, "EMAIL", 2, 2, 1, 2, 1), (1, "PHONE", 1, 0, 0, 1, 1), (1, None, 3, 2, 1, 3, 2), (2, "PHONE", 1, 5, 0, 0, 0), (2, None, 1, 5, 0, 0, 0)}
 
 
 def test_configuration(tmp_path):
