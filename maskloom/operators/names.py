@@ -43,7 +43,7 @@ def is_honorific(t: Column) -> Column:
 
 
 def is_core(t: Column) -> Column:
-    shape = t.rlike(r"^\p{Lu}[\p{L}]+(?:['-]\p{Lu}?\p{L}+)*\.?$")
+    shape = t.rlike(r"^\p{Lu}(?:\p{L}+(?:['-]\p{L}+)*|(?:['-]\p{L}+)+)\.?$")
     return shape & ~is_initial(t) & ~is_particle(t) & ~is_suffix(t) & ~is_honorific(t) & ~one_of(F.lower(bare(t)), ORG_WORDS + ROLE_WORDS)
 
 

@@ -113,7 +113,7 @@ def audit_summary(entries: DataFrame, *by: str) -> DataFrame:
 
 def document_audit(df: DataFrame, secret: str | None, id_col: str = "doc_id") -> DataFrame:
     """A row per document: the hash of its normalised text, whether a secret was used, and its numbers of entries and residuals."""
-    return df.select(id_col, F.sha2("norm", 256).alias("doc_hash"), F.lit(bool(secret)).alias("seed_present"), F.size("plan").alias("entries"), "report.residual_count", "report.score")
+    return df.select(id_col, F.sha2("norm", 256).alias("doc_hash"), F.lit(bool(secret)).alias("seed_present"), F.size("plan").alias("entries"), F.col("report.residual_count").alias("residual_count"), F.col("report.score").alias("score"))
 
 
 def leaking(df: DataFrame, secret: str | None, columns: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries over the test tables, one for each group of operators, and the SQL that gives the same rows where there is such.
 
-Tables without a kind of entity get a text made of their columns, the same in both.
+The documents hold e-mail addresses, phone and card numbers; what they don't hold is looked for in texts made of the columns of
+other tables (``shapes``), the same in both. The SQL is in ``oracles``.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import compose, detect, evaluate, link, names, plan, pseudonyms, verify
 from ..schema import Config
-from ..streaming.redaction import stream_redact
+from ..streaming.redaction import stream_files
+from . import shapes
+from .oracles import ORACLE_SQL  # noqa: F401
 from .redaction import redact, spans_of
 
 CFG = Config()
+#: A run that looks for e-mail addresses alone: SQL can follow it from the text to the audit.
+EMAILS = Config(detectors=("email",))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,20 +71,50 @@ def card_spans(spark: SparkSession, d: str) -> DataFrame:
     return account_spans(spark, d).where("subtype = 'cc'").select("id", "start", "end", "normalized")
 
 
+def card_scheme_counts(spark: SparkSession, d: str) -> DataFrame:
+    spans = text.step(texts(spark, d), "s", detect.detect("text", CFG, ("account_ids",))).select(F.inline("s"))
+    return spans.where("subtype = 'cc'").groupBy(F.col("attrs")["scheme"].alias("scheme"), F.col("attrs")["length"].cast("int").alias("length")).agg(F.count("*").alias("n"))
+
+
+def email_attrs(spark: SparkSession, d: str) -> DataFrame:
+    spans = text.step(texts(spark, d), "s", detect.detect("text", CFG, ("email",))).select("id", F.inline("s"))
+    return spans.select("id", "start", *(F.col("attrs")[c].alias(c) for c in ("local", "domain", "base_local", "tag", "tld")))
+
+
+def of_shapes(spark: SparkSession, d: str, made: shapes.Made, detector: str, *columns: str) -> DataFrame:
+    return found(made.texts(spark, d), detector).select("id", "start", "end", "found", *columns)
+
+
 def ssn_spans(spark: SparkSession, d: str) -> DataFrame:
     df = made(spark, d, "orders", "o_orderkey", "concat('SSN ', lpad(o_orderkey % 1000, 3, '0'), '-', lpad(o_custkey % 100, 2, '0'), '-', lpad(o_orderkey % 10000, 4, '0'), ' on file')")
     return found(df, "account_ids").where("subtype = 'ssn'").select("id", "start", "end", "normalized")
 
 
+def ssn_ein_spans(spark: SparkSession, d: str) -> DataFrame:
+    return of_shapes(spark, d, shapes.EINS, "account_ids", "subtype", "normalized")
+
+
+def bic_spans(spark: SparkSession, d: str) -> DataFrame:
+    return of_shapes(spark, d, shapes.BICS, "account_ids", "normalized")
+
+
+def generic_id_spans(spark: SparkSession, d: str) -> DataFrame:
+    return of_shapes(spark, d, shapes.GENERICS, "account_ids", "normalized")
+
+
 def aba_spans(spark: SparkSession, d: str) -> DataFrame:
     df = made(spark, d, "orders", "o_orderkey", "concat('routing number ', lpad(o_orderkey * 7919 % 1000000000, 9, '0'))")
     return found(df, "account_ids").where("subtype = 'routing_aba'").select("id", "start", "end", "normalized")
 
 
 def iban_valid(spark: SparkSession, d: str) -> DataFrame:
-    body = F.lpad(F.col("c_custkey").cast("string"), 18, "0")
-    made_up = keys.iban_completed(F.lit("DE"), body)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), made_up.alias("iban"), keys.iban_valid(made_up).alias("valid"))
+    """Right IBANs, and of every four rows three that are wrong: in a check digit, in the order of two digits, in their length."""
+    k = F.col("c_custkey")
+    right = keys.iban_completed(F.lit("DE"), F.lpad((k * 7 + 12).cast("string"), 18, "0"))
+    wrong = F.when(k % 4 == 1, F.concat(F.substring(right, 1, 3), F.pmod(F.substring(right, 4, 1).cast("int") + 1, F.lit(10)).cast("string"), F.substring(right, 5, 40)))
+    wrong = wrong.when(k % 4 == 2, F.concat(F.substring(right, 1, 20), F.substring(right, 22, 1), F.substring(right, 21, 1))).when(k % 4 == 3, F.concat(right, F.lit("0")))
+    iban = F.coalesce(wrong, right)
+    return table(spark, d, "customer").select(k.alias("id"), iban.alias("iban"), keys.iban_valid(iban).alias("valid"))
 
 
 def generic_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -88,33 +123,62 @@ def generic_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dob_spans(spark: SparkSession, d: str) -> DataFrame:
-    df = made(spark, d, "orders", "o_orderkey", "concat('Name\nDOB: ', date_format(o_orderdate, 'MM/dd/yyyy'), '. Seen ', date_format(o_orderdate, 'yyyy-MM-dd'))")
-    return found(df, "date_dob").select("id", "start", "end", "found", "normalized")
+    return of_shapes(spark, d, shapes.BIRTHS, "date_dob", "normalized")
 
 
 def bank_spans(spark: SparkSession, d: str) -> DataFrame:
-    return found(made(spark, d, "nation", "n_nationkey", "concat('paid by ', initcap(n_name), ' Trust Company today')"), "bank_org").select("id", "start", "end", "found")
+    return of_shapes(spark, d, shapes.BANKS, "bank_org")
+
+
+def address_lines(spark: SparkSession, d: str) -> DataFrame:
+    return found(shapes.LINES.texts(spark, d), "address_line").select("id", "start", "end", "found", F.col("subtype").alias("kind"))
 
 
 def address_blocks(spark: SparkSession, d: str) -> DataFrame:
-    df = made(spark, d, "customer", "c_custkey", "concat('To\n', c_custkey, ' Main St\nSuite ', c_nationkey + 1, '\n\nSpringfield, IL ', lpad(c_custkey, 5, '0'), '\nend')")
+    df = shapes.ADDRESSES.texts(spark, d)
     out = text.step(df, "found", detect.detect("text", CFG, ("address_line",))).select("id", F.inline(link.address_blocks(F.col("text"), F.col("found"))))
     return out.where("source = 'address_block_merge'").select("id", "start", "end", F.col("text").alias("found"))
 
 
 def alias_links(spark: SparkSession, d: str) -> DataFrame:
-    df = made(spark, d, "customer", "c_custkey", "concat('Jane Doe, hereinafter \"Morgan', c_custkey, '\", signs. Then Morgan', c_custkey, ' pays Morgan', c_custkey, 'x.')")
-    out = spans_of(df, CFG, "text").select("id", F.inline("spans")).where("label = 'ALIAS_LABEL'")
+    out = spans_of(shapes.ALIASES.texts(spark, d), CFG, "text").select("id", F.inline("spans")).where("label = 'ALIAS_LABEL'")
     return out.select("id", "start", "end", "source", F.col("text").alias("found"))
 
 
+def alias_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """How often each alias stands after its definition, and whether it and its subject have one entity."""
+    out = spans_of(shapes.ALIASES.texts(spark, d), CFG, "text")
+    subject = F.get(F.filter("spans", lambda s: s["label"].isin("PERSON", "ORG")), 0)["entity_id"]
+    out = out.select("id", subject.alias("subject"), F.inline("spans")).where("label = 'ALIAS_LABEL'")
+    return out.groupBy("id", F.col("text").alias("alias")).agg(F.count_if(F.col("source") == "alias_resolver").alias("mentions"), F.every(F.col("entity_id") == F.col("subject")).alias("joined"))
+
+
+def alias_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Who is called what: names as text, since DuckDB and Spark hold lists apart."""
+    out = link.clusters(spans_of(shapes.ALIASES.texts(spark, d), CFG, "text"), id_col="id").where("size(aliases) + size(role_aliases) > 0")
+    return out.select("id", "primary_surface", "kind", F.array_join("aliases", "|").alias("aliases"), F.array_join("role_aliases", "|").alias("role_aliases"), "mentions")
+
+
+def guard_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = text.step(shapes.GUARDED.texts(spark, d), "found", detect.detect("text", CFG, ("ner_regex", "address_line")))
+    kept = out.select("id", F.inline(link.guarded(F.col("text"), F.col("found"), CFG)))
+    return kept.select("id", "start", "end", F.col("text").alias("found"), "label")
+
+
 def name_spans(spark: SparkSession, d: str) -> DataFrame:
-    return found(made(spark, d, "nation", "n_nationkey", "concat('we met John Smith of ', initcap(n_name), ' LLC')"), "ner_regex").select("id", "start", "end", "label", "found")
+    return of_shapes(spark, d, shapes.NAMES, "ner_regex", "label")
+
+
+def document_names(spark: SparkSession, d: str) -> DataFrame:
+    """The names of the documents themselves, by label and text."""
+    return found(texts(spark, d), "ner_regex").groupBy("label", "found").agg(F.count("*").alias("n"))
 
 
 def name_scores(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("Dr. Mary "), F.initcap("n_name"), F.lit(" van Smith Jr."))
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), names.score(name).alias("score"), names.parsed(name).alias("parts"))
+    name = F.expr(shapes.SCORED.case("c_custkey"))
+    parts = names.parsed(name)
+    joined = [F.array_join(parts[c], " ").alias(c) for c in ("honorifics", "given", "particles", "surname", "suffixes")]
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), names.score(name).alias("score"), (names.score(name) >= names.LEAST).alias("probable"), *joined)
 
 
 def heading_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -125,11 +189,19 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("id", F.inline(text.sentences(F.col("text")))).select("id", "start", "end")
 
 
-def merge_spans(spark: SparkSession, d: str) -> DataFrame:
+def document_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All detectors over all documents, merged."""
     out = text.step(text.step(texts(spark, d), "found", detect.detect("text", CFG)), "spans", link.merged(F.col("found"), CFG))
     return out.select("id", F.inline("spans")).select("id", "start", "end", "label", "source")
 
 
+def merge_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy choice among spans made of order keys: of equal ranges, of one within another, touching, in chains."""
+    one = lambda m: F.struct(*((F.expr(v)).cast(t).alias(c) for (c, t), v in zip(shapes.MERGED_COLUMNS, m)), F.lit(None).cast("string").alias("subtype"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("entity_id"))
+    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(*map(one, shapes.MERGED)).cast(shapes.SPANS).alias("found"))
+    return text.step(df, "spans", link.merged(F.col("found"), CFG)).select("id", F.inline("spans")).select("id", "start", "end", "label", "source")
+
+
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), keys.digest("entity", F.col("c_name"), F.lit("GLOBAL"), None).alias("digest"))
 
@@ -149,11 +221,12 @@ def match_case(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shaped(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), compose.format_like(F.concat("n_name", F.lit("-JONES")), F.lit("Carter Green")).alias("shaped"))
+    source, other = F.expr(shapes.SHAPED.case("p_partkey", 0)), F.expr(shapes.SHAPED.case("p_partkey", 1))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), compose.format_like(source, other).alias("shaped"))
 
 
-def run(spark: SparkSession, d: str, cfg: Config = CFG) -> DataFrame:
-    return redact(table(spark, d, "documents").select("doc_id", "text"), cfg)
+def run(spark: SparkSession, d: str, cfg: Config = CFG, check: bool = True) -> DataFrame:
+    return redact(table(spark, d, "documents").select("doc_id", "text"), cfg, check=check)
 
 
 def redact_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +234,7 @@ def redact_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replacement_plan(spark: SparkSession, d: str) -> DataFrame:
-    return run(spark, d).select("doc_id", F.inline("plan"))
+    return run(spark, d, check=False).select("doc_id", F.inline("plan"))
 
 
 def leakage(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +242,7 @@ def leakage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_entries(spark: SparkSession, d: str) -> DataFrame:
-    return verify.audit_entries(run(spark, d))
+    return verify.audit_entries(run(spark, d, check=False))
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -177,12 +250,60 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_diff(spark: SparkSession, d: str) -> DataFrame:
-    return run(spark, d).select("doc_id", verify.html_diff(F.col("norm"), F.col("redacted"), F.col("plan")).alias("html"))
+    return run(spark, d, check=False).select("doc_id", F.sha2(verify.html_diff(F.col("norm"), F.col("redacted"), F.col("plan")), 256).alias("html_sha256"))
 
 
 def coref_links(spark: SparkSession, d: str) -> DataFrame:
-    df = made(spark, d, "nation", "n_nationkey", "concat('John Smith lives in ', initcap(n_name), '. He pays. Mary Jones and they met.')")
-    return spans_of(df, CFG, "text").select("id", F.inline(link.coreferences(F.col("text"), F.col("spans")))).select("id", "start", "end", "entity_id")
+    df = spans_of(shapes.COREFS.texts(spark, d), CFG, "text")
+    return df.select("id", F.inline(link.coreferences(F.col("text"), F.col("spans")))).select("id", "start", "end", F.col("text").alias("found"), "entity_id")
+
+
+def emails(spark: SparkSession, d: str, check: bool = False) -> DataFrame:
+    return redact(table(spark, d, "documents").select("doc_id", "text"), EMAILS, check=check)
+
+
+def email_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return emails(spark, d).select("doc_id", "redacted")
+
+
+def email_plan(spark: SparkSession, d: str) -> DataFrame:
+    return emails(spark, d).select("doc_id", F.inline("plan")).select("doc_id", "start", "end", "original", "replacement", "label", "source", "skip", "retries")
+
+
+def redact_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each replacement begins in the new text, and that it stands there."""
+    e = emails(spark, d).select("doc_id", "redacted", F.inline(F.arrays_zip("plan", plan.new_starts(F.col("plan")).alias("at"))))
+    there = F.substr("redacted", F.col("at") + 1, F.length("plan.replacement")) == F.col("plan.replacement")
+    return e.select("doc_id", F.col("plan.start").alias("start"), F.col("at").alias("new_start"), there.alias("there"))
+
+
+def email_audit(spark: SparkSession, d: str) -> DataFrame:
+    audit = verify.audit_entries(emails(spark, d))
+    return audit.select("doc_id", "id", "start", "end", "new_start", "label", "original_text", "replacement_text", "skip_replacement", "safety_retries", "length_delta")
+
+
+def email_audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    return verify.audit_summary(verify.audit_entries(emails(spark, d)))
+
+
+def email_leakage(spark: SparkSession, d: str) -> DataFrame:
+    f = verify.scan(emails(spark, d), "redacted", "plan", EMAILS).select("doc_id", F.inline("findings"))
+    return f.groupBy("label", F.coalesce("ignored", F.lit("residual")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def residual_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The second scan over the texts as they are: nothing is ours, so all but safe addresses are residuals."""
+    out = verify.scan(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", None, EMAILS)
+    return out.select("doc_id", *(F.col(f"report.{c}").alias(c) for c in ("total_found", "total_ignored", "residual_count", "score")))
+
+
+def email_diff(spark: SparkSession, d: str) -> DataFrame:
+    return emails(spark, d).select("doc_id", F.sha2(verify.html_diff(F.col("norm"), F.col("redacted"), F.col("plan")), 256).alias("html_sha256"))
+
+
+def document_audit(spark: SparkSession, d: str) -> DataFrame:
+    done = emails(spark, d, check=True)
+    return verify.document_audit(done, EMAILS.secret)
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
@@ -208,84 +329,23 @@ def fuzz_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_of_conversations(spark: SparkSession, d: str) -> DataFrame:
-    """The streaming plan over the conversations as a batch; tests run it as a stream."""
-    return stream_redact(table(spark, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "redacted")
+    """The plan over a stream: the conversations come as files, what is there is redacted and written, and the result is read."""
+    return stream_files(spark, f"{d}/conversations.parquet", EMAILS).select("conv_id", "turn", "redacted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    normalize_text, line_index, email_spans, email_domain_counts, phone_spans, account_spans, card_spans, ssn_spans, aba_spans, iban_valid, generic_dates, dob_spans, bank_spans, address_blocks, alias_links,
-    name_spans, name_scores, heading_ranges, sentence_split, merge_spans, stable_ids, entity_tokens, pseudonym_kinds, match_case, shaped, redact_documents, replacement_plan, leakage, audit_entries, audit_summary,
-    html_diff, coref_links, metrics_prf, metrics_confusion, fuzz_variants, stream_of_conversations,
-)}
-
-_EMAIL = r"[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&''*+/=?^_`{|}~-]+)*@([A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}"
+def name_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Placeholders for customers, the same wherever the name stands."""
+    seed = keys.digest("PERSON", F.col("c_name"), F.lit("GLOBAL"), None)
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), pseudonyms.placeholder(F.lit("PERSON"), seed).alias("person"), pseudonyms.placeholder(F.lit("ACCOUNT_ID"), seed).alias("account"), pseudonyms.placeholder(F.lit("EMAIL"), seed).alias("email"), pseudonyms.placeholder(F.lit("PHONE"), seed).alias("phone"))
 
 
-def _positions(source: str, pattern: str) -> str:
-    """SQL for id, start, end, found of all matches: lengths of matches and of what stands between them, summed up."""
-    return rf"""
-with t as ({source}),
-m as (select id, regexp_extract_all(text, '{pattern}') as m, regexp_split_to_array(text, '{pattern}') as g from t where regexp_matches(text, '{pattern}')),
-e as (select id, i, m[i] as found, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::bigint as start
-      from m, unnest(generate_series(1, len(m))) as u(i)),
-p as (select id, start, start + length(found) as "end", found from e)
-"""
+def metrics_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.summary(metrics_prf(spark, d))
 
 
-_DOCS = "select doc_id as id, text from documents"
-
-ORACLE_SQL: dict[str, str] = {
-    "normalize_text": "with n as (select doc_id as id, coalesce(text, '') as t, regexp_replace(translate(nfc_normalize(coalesce(text, '')), chr(160) || chr(8239) || chr(8199) || chr(8220) || chr(8221) || chr(8216) || chr(8217) || chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(173), '   \"\"'''''), '([A-Za-z])-\\r?\\n([A-Za-z])', '\\1\\2', 'g') as norm from documents) select id, norm, norm <> t as changed from n",
-    "line_index": """
-with t as (select doc_id as id, string_split(text, chr(10)) as p from documents),
-l as (select id, i - 1 as line, p[i] as s, coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x) + 1)), 0)::bigint as start, len(p) as n from t, unnest(generate_series(1, len(p))) as u(i))
-select id, line, start, start + length(s) as "end" from l where not (line = n - 1 and s = '')
-""",
-    "email_spans": _positions(_DOCS, _EMAIL) + """select id, start, "end", found, concat(split_part(found, '@', 1), '@', lower(split_part(found, '@', 2))) as normalized from p""",
-    "email_domain_counts": _positions(_DOCS, _EMAIL) + "select lower(split_part(found, '@', 2)) as domain, count(*) as n from p group by 1",
-    "ssn_spans": """
-with t as (select o_orderkey as id, lpad((o_orderkey % 1000)::varchar, 3, '0') as a, lpad((o_custkey % 100)::varchar, 2, '0') as g, lpad((o_orderkey % 10000)::varchar, 4, '0') as s from orders)
-select id, 4 as start, 15 as "end", a || g || s as normalized from t where a not in ('000', '666') and a < '900' and g <> '00' and s <> '0000'
-""",
-    "aba_spans": """
-with t as (select o_orderkey as id, lpad((o_orderkey * 7919 % 1000000000)::varchar, 9, '0') as n from orders),
-w as (select id, n, list_sum(list_transform(generate_series(1, 9), lambda i: substr(n, i, 1)::int * [3, 7, 1][(i - 1) % 3 + 1])) as s from t)
-select id, 15 as start, 24 as "end", n as normalized from w where s % 10 = 0
-""",
-    "iban_valid": "with b as (select c_custkey as id, lpad(c_custkey::varchar, 18, '0') as body from customer), c as (select id, body, 98 - (body || '131400')::hugeint % 97 as k from b) select id, 'DE' || lpad(k::varchar, 2, '0') || body as iban, true as valid from c",
-    "generic_dates": """
-with o as (select o_orderkey as id, o_orderdate as d, strftime(o_orderdate, '%B') || ' ' || day(o_orderdate) || ', ' || year(o_orderdate) as a, strftime(o_orderdate, '%Y-%m-%d') as iso, strftime(o_orderdate, '%m/%d/%Y') as us from orders)
-select id, 7 as start, 7 + length(a) as "end", a as found, iso as normalized from o
-union all select id, 13 + length(a), 23 + length(a), iso, iso from o
-union all select id, 27 + length(a), 37 + length(a), us, iso from o
-""",
-    "dob_spans": "select o_orderkey as id, 10 as start, 20 as \"end\", strftime(o_orderdate, '%m/%d/%Y') as found, strftime(o_orderdate, '%Y-%m-%d') as normalized from orders",
-    "address_blocks": """
-with t as (select c_custkey as id, c_custkey || ' Main St' || chr(10) || 'Suite ' || (c_nationkey + 1) || chr(10) || chr(10) || 'Springfield, IL ' || lpad(c_custkey::varchar, 5, '0') as found from customer)
-select id, 3 as start, 3 + length(found) as "end", found from t
-""",
-    "alias_links": """
-with t as (select c_custkey as id, 'Morgan' || c_custkey as a from customer)
-select id, 23 as start, 23 + length(a) as "end", 'aliases' as source, a as found from t
-union all select id, 38 + length(a), 38 + 2 * length(a), 'alias_resolver', a from t
-""",
-    "stable_ids": "select c_custkey as id, sha256('maskloom/1/entity' || chr(31) || 'entity' || chr(31) || 'GLOBAL' || chr(31) || lower(trim(c_name))) as digest from customer",
-    "metrics_confusion": """
-with k as (select o_orderkey as k, o_orderkey % 5 <> 0 as two from orders),
-r as (select case when 10 - k % 4 >= 0.5 * (10 + k % 4) then 'PERSON' end as g, 'PERSON' as f from k
-      union all select 'PERSON', null from k where 10 - k % 4 < 0.5 * (10 + k % 4)
-      union all select 'DOB', case when two then case when k % 3 = 0 then 'DATE_GENERIC' else 'DOB' end end from k)
-select coalesce(g, '<none>') as gold_label, coalesce(f, '<none>') as found_label, count(*) as n from r group by 1, 2
-""",
-    "metrics_prf": """
-with k as (select o_orderkey as k, o_orderkey % 5 <> 0 as two from orders),
-r as (select 'PERSON' as g, 'PERSON' as f from k
-      union all select 'DOB', case when two then case when k % 3 = 0 then 'DATE_GENERIC' else 'DOB' end end from k),
-e as (select g as label, 1 as tp, 0 as fp, 0 as fn from r where g = f
-      union all select g, 0, 0, 1 from r where f is null or g <> f
-      union all select f, 0, 1, 0 from r where g <> f),
-c as (select label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn from e group by rollup(label))
-select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as recall,
-       case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end as f1 from c
-""",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    normalize_text, line_index, email_spans, email_attrs, email_domain_counts, phone_spans, account_spans, card_spans, card_scheme_counts, ssn_spans, ssn_ein_spans, bic_spans, aba_spans, generic_id_spans, iban_valid,
+    generic_dates, dob_spans, bank_spans, address_lines, address_blocks, alias_links, alias_mentions, alias_clusters, guard_filter, name_spans, document_names, name_scores, heading_ranges, sentence_split, document_spans,
+    merge_spans, stable_ids, entity_tokens, name_tokens, pseudonym_kinds, match_case, shaped, redact_documents, replacement_plan, leakage, audit_entries, audit_summary, html_diff, coref_links, email_redacted, email_plan,
+    redact_offsets, email_audit, email_audit_summary, email_leakage, residual_scan, email_diff, document_audit, metrics_prf, metrics_summary, metrics_confusion, fuzz_variants, stream_of_conversations,
+)}

@@ -18,7 +18,7 @@ def spans_of(df: DataFrame, cfg: Config, text_col: str = "norm") -> DataFrame:
     """Adds scope and spans: found, blocked, guarded, linked and merged."""
     text, found, scope = F.col(text_col), F.col("found"), F.col("scope")
     out = step(df, "scope", Scope(cfg.secret, cfg.cross_doc_consistency).of(F.coalesce(text, F.lit(""))))
-    steps = [detect(text_col, cfg, cfg.detectors or None), link.address_blocks(text, found), link.guarded(text, found, cfg), link.identified(found, scope, cfg.secret), link.aliases_resolved(text, found, scope, cfg)]
+    steps = [detect(text_col, cfg), link.address_blocks(text, found), link.guarded(text, found, cfg), link.identified(found, scope, cfg.secret), link.aliases_resolved(text, found, scope, cfg)]
     for value in steps + ([link.surnames_joined(found)] if cfg.coref else []):
         out = step(out, "found", value)
     return step(out, "spans", link.merged(found, cfg)).drop("found")
