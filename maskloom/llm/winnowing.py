@@ -28,6 +28,8 @@ K, W = 8, 16
 #: Code points of the texts that go together as one compressed row between the passes, unless one text has more.
 BLOCK = 1 << 18
 M = np.uint64(0x9E3779B97F4A7C15)
+#: Zstandard's levels for single texts and for blocks.
+TEXT_LEVEL, BLOCK_LEVEL = 5, 7
 #: Bits of a position within a block; a block and its neighbour overlap by a window.
 BITS = 24
 
@@ -146,12 +148,12 @@ def with_next(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", t
         return len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(fp), as_text(new_fp), likeness_of_sets(hashes, np.unique(new_fp[0])), likeness_of_sets(hashes, next_hashes)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=3)
+        coder = zstandard.ZstdCompressor(level=TEXT_LEVEL)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([coder.compress(t.as_py().encode()) for t in b.column(1)], pa.binary())], ["doc_id", "hash", "squeezed"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, decoder = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        coder, decoder = zstandard.ZstdCompressor(level=BLOCK_LEVEL), zstandard.ZstdDecompressor()
         part, schema, first, ids, texts, size = TaskContext.get().partitionId(), None, None, [], [], 0
 
         def out(following: bytes | None) -> pa.RecordBatch:
