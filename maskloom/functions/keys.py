@@ -50,14 +50,14 @@ def digest(kind: Column | str, key: Column, scope: Column, secret: str | None) -
 
 
 def base32(hex_digest: Column, length: int) -> Column:
-    """The first characters of a digest in lower-case base 32 without padding."""
-    bits = F.array_join(F.transform(F.split(hex_digest, ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), "")
+    """The first characters of a digest in lower-case base 32 without padding; the last of 52 has one bit."""
+    bits = F.concat(F.array_join(F.transform(F.split(hex_digest, ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), ""), F.lit("0000"))
     return let(bits, lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.substr(F.lit(ALPHABET), F.conv(F.substr(b, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))), ""))
 
 
 def stable_id(kind: Column | str, key: Column, scope: Column, secret: str | None, length: int = 20) -> Column:
-    if not 8 <= length <= 51:
-        raise ValueError("length must be from 8 to 51")
+    if not 8 <= length <= 52:
+        raise ValueError("length must be from 8 to 52")
     return base32(digest(kind, key, scope, secret), length)
 
 

@@ -22,6 +22,8 @@ REPLACED = {"\u00a0": " ", "\u202f": " ", "\u2007": " ", "\u201c": '"', "\u201d"
 #: Line ends: those of text files, and all that count in address lines and headings.
 EOL, ANY_EOL = r"\r\n|\n|\r", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 BLOCK = 256
+#: A character that no text should hold.
+MARK = "\x01"
 
 
 @contextmanager
@@ -105,16 +107,24 @@ def folded(a: Column, start: Column, step: Callable[[Column, Column], Column], k
 
 
 def matches(text: Column, pattern: Column | str) -> Column:
-    """All non-overlapping matches of a Java pattern, leftmost first: array of start, end, text. The pattern must not match ''."""
-    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
-
-    def spans(found: Column, gaps: Column) -> Column:
-        steps = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
-        span = lambda m, i, base: let(F.get(base, i) + F.length(F.get(gaps, i)), lambda s: F.struct(s.alias("start"), (s + F.length(m)).alias("end"), m.alias("text")))
-        return let(sums_before(steps), lambda base: F.transform(found, lambda m, i: span(m, i, base)))
+    """All non-overlapping matches of a Java pattern, leftmost first: array of start, end, text. The pattern must not match ''.
 
-    found = let(F.regexp_extract_all(text, rx, F.lit(0)), lambda m: let(F.split(text, rx, F.lit(-1)), lambda g: spans(m, g)))
-    return F.coalesce(F.when(text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, rx), found), empty(MATCH))
+    A test keeps texts without any from the rest. Then one pass puts marks round the matches and a split at the marks gives what
+    stands between them and the matches in turn. A text that holds the mark itself is passed over twice instead.
+    """
+    rx = F.lit(pattern) if isinstance(pattern, str) else pattern
+    none = empty(MATCH)
+
+    def of(parts: Column) -> Column:
+        """parts: gap, match, gap, ..., gap."""
+        span = lambda i, base: F.struct(F.get(base, i).alias("start"), (F.get(base, i) + F.length(F.get(parts, i))).alias("end"), F.get(parts, i).alias("text"))
+        odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        return let(sums_before(F.transform(parts, F.length)), lambda base: F.transform(odd, lambda i: span(i, base)))
+
+    marked = F.split(F.regexp_replace(text, rx, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    woven = let(F.regexp_extract_all(text, rx, F.lit(0)), lambda m: F.flatten(F.transform(F.split(text, rx, F.lit(-1)), lambda g, i: F.filter(F.array(g, F.get(m, i)), lambda x: x.isNotNull()))))
+    found = let(F.when(F.contains(text, F.lit(MARK)), woven).otherwise(marked), of)
+    return F.coalesce(F.when(text.rlike(pattern) if isinstance(pattern, str) else F.regexp_like(text, rx), found), none)
 
 
 def lines(text: Column, eol: str = EOL) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import empty, let
+from ..functions.text import empty, let, step
+from ..schema import Config
+from .detect import detect
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -16,12 +18,13 @@ def iou(a: Column, b: Column) -> Column:
 
 def greedy_matches(gold: Column, found: Column, threshold: float = 0.5) -> Column:
     """One-to-one matches of two arrays of spans: pairs of IoU at or above the threshold, the best first. g, p: places from 0."""
-    pair = lambda g, i, p, j: let(iou(g, p), lambda v: F.struct((-v).alias("k"), i.alias("g"), j.alias("p")))
+    # of equal ones the last gold span and then the last found one comes first
+    pair = lambda g, i, p, j: let(iou(g, p), lambda v: F.struct((-v).alias("k"), (-i).alias("ng"), (-j).alias("np"), i.alias("g"), j.alias("p")))
     every = F.flatten(F.transform(gold, lambda g, i: F.transform(found, lambda p, j: pair(g, i, p, j))))
     ranked = F.array_sort(F.filter(every, lambda x: x["k"] <= -threshold))
-    kind = "array<struct<k:double,g:int,p:int>>"
-    step = lambda kept, c: F.when(F.exists(kept, lambda k: (k["g"] == c["g"]) | (k["p"] == c["p"])), kept).otherwise(F.array_append(kept, c))
-    return F.aggregate(ranked.cast(kind), empty(kind), step)
+    kind = "array<struct<k:double,ng:int,np:int,g:int,p:int>>"
+    choose = lambda kept, c: F.when(F.exists(kept, lambda k: (k["g"] == c["g"]) | (k["p"] == c["p"])), kept).otherwise(F.array_append(kept, c))
+    return F.aggregate(ranked.cast(kind), empty(kind), choose)
 
 
 def outcomes(df: DataFrame, id_col: str = "doc_id", gold_col: str = "gold", found_col: str = "found", threshold: float = 0.5) -> DataFrame:
@@ -54,9 +57,21 @@ def summary(prf_rows: DataFrame) -> DataFrame:
     return macro.unionByName(prf_rows.where("label is null").select(F.lit("micro").alias("average"), *ratios))
 
 
-def coarse(label: Column) -> Column:
-    """A label without its kind: dates, organisations and places are one each."""
-    return F.when(label.isin("DOB", "DATE_GENERIC"), "DATE").when(label.isin("ORG", "BANK_ORG"), "ORG").when(label.isin("GPE", "LOC"), "PLACE").otherwise(label)
+def label_of(label: Column, subtype: Column, fine: bool = False) -> Column:
+    """The label that counts: with its kind for account numbers, if labels are to be fine."""
+    return F.when(F.lit(fine) & (label == "ACCOUNT_ID") & subtype.isNotNull(), F.concat_ws(":", label, subtype)).otherwise(label)
+
+
+def evaluated(df: DataFrame, cfg: Config | None = None, fine: bool = False, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", gold_col: str = "gold") -> DataFrame:
+    """Outcomes (see outcomes) of the detectors' spans against gold spans (start, end, label, subtype) of each text.
+
+    What the detectors find counts as it is, unmerged; of address spans, those of single lines.
+    """
+    cfg = cfg or Config()
+    named = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label_of(s["label"], s["subtype"], fine).alias("label"))
+    base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.transform(gold_col, named).alias("gold"))
+    found = F.filter(detect("text", cfg), lambda s: (s["label"] != "ADDRESS_BLOCK") | (s["source"] == "address_line"))
+    return outcomes(step(base, "found", F.transform(found, named)), "doc_id", threshold=threshold)
 
 
 def confusion(rows: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ HELD = ("PERSON", "ORG", "GPE", "LOC", "ALIAS_LABEL")
 SUBJECTS = ("PERSON", "ORG", "BANK_ORG")
 #: A subject may end so many characters before the alias that it is linked with.
 NEAR = 80
-PRONOUN = r"(?iU)\b(?:he|she|they|him|her|them|his|hers|their|theirs)\b"
+PRONOUNS = "he|she|they|him|her|them|his|hers|their|theirs"
+PRONOUN = rf"(?iU)\b(?:{PRONOUNS})\b"
 
 
 def address_blocks(text: Column, spans: Column) -> Column:
@@ -155,6 +156,29 @@ def surnames_joined(spans: Column) -> Column:
     return let(by_start(spans), of)
 
 
+def model_joined(text: Column, spans: Column, groups: Column, scope: Column, secret: str | None) -> Column:
+    """Spans with the entities of a model's clusters of mentions (array<array<struct<start,end>>>).
+
+    A cluster has the entity of the first span that overlaps one of its mentions and has one, aliases before others; else that of
+    its longest mention that is no pronoun. Every person, organisation and alias that overlaps a mention gets it.
+    """
+    meets = lambda s, g: F.exists(g, lambda m: overlaps(s, m))
+    said = lambda m: F.substr(text, m["start"] + 1, m["end"] - m["start"])
+
+    def entity_of(g: Column) -> Column:
+        named = F.filter(spans, lambda s: s["entity_id"].isNotNull() & meets(s, g))
+        first = F.coalesce(F.get(F.filter(named, lambda s: s["label"] == "ALIAS_LABEL"), 0)["entity_id"], F.get(named, 0)["entity_id"])
+        words = F.filter(F.transform(g, said), lambda t: ~t.rlike(f"(?i)^(?:{PRONOUNS})$"))
+        longest = F.get(F.array_sort(F.transform(words, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 0)["t"]
+        return F.struct(F.coalesce(first, entity(longest, scope, secret)).alias("id"), g.alias("mentions"))
+
+    def joined(known: Column) -> Column:
+        own = lambda s: F.get(F.filter(known, lambda k: meets(s, k["mentions"])), 0)["id"]
+        return F.transform(spans, lambda s: F.when(one_of(s["label"], (*SUBJECTS, "ALIAS_LABEL")), s.withField("entity_id", F.coalesce(own(s), s["entity_id"]))).otherwise(s))
+
+    return F.coalesce(let(F.transform(groups, entity_of), joined), spans)
+
+
 def clusters(df: DataFrame, spans_col: str = "spans", id_col: str = "doc_id") -> DataFrame:
     """A row per document and entity: what it is called, as what, its aliases and role aliases, and how often it is mentioned."""
     s = df.select(id_col, F.explode(F.filter(spans_col, lambda s: s["entity_id"].isNotNull())).alias("s")).select(id_col, "s.*")

@@ -346,6 +346,7 @@ c as (select id, count(*) as n, count(*) filter (where lower(split_part(found, '
 select doc_id, coalesce(n, 0) as total_found, coalesce(safe, 0) as total_ignored, coalesce(n - safe, 0) as residual_count, 3.0 * coalesce(n - safe, 0) as score from documents left join c on c.id = doc_id
 """,
     "email_diff": f"""{_REBUILT} select id as doc_id, sha256({page("text", "redacted")}) as html_sha256 from v""",
+    "email_coverage": f"{_REBUILT} select id as doc_id, len(l) as found_before, 0 as residual_count, len(l) as covered, len(l) as plan_size, text <> redacted as changed from v",
     "document_audit": f"{_REBUILT} select id as doc_id, sha256(text) as doc_hash, false as seed_present, len(l) as entries, 0 as residual_count, 0.0::double as score from v",
     "alias_clusters": f"""
 with c as (select c_custkey as id, c_custkey % 7 as k, {word("c_custkey")} as w, {word("c_custkey", 11)} as v, {number("c_custkey", 5)} as n from customer)

@@ -17,7 +17,7 @@ from ..schema import Config
 from ..streaming.redaction import stream_files
 from . import shapes
 from .oracles import ORACLE_SQL  # noqa: F401
-from .redaction import redact, spans_of
+from .redaction import coverage, redact, spans_of
 
 CFG = Config()
 #: A run that looks for e-mail addresses alone: SQL can follow it from the text to the audit.
@@ -306,6 +306,10 @@ def document_audit(spark: SparkSession, d: str) -> DataFrame:
     return verify.document_audit(done, EMAILS.secret)
 
 
+def email_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return coverage(emails(spark, d, check=True), EMAILS)
+
+
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Gold and found spans made of order keys: some alike, some moved, some of another label, some missing."""
     one = lambda a, b, label: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), label.alias("label"))
@@ -347,5 +351,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     normalize_text, line_index, email_spans, email_attrs, email_domain_counts, phone_spans, account_spans, card_spans, card_scheme_counts, ssn_spans, ssn_ein_spans, bic_spans, aba_spans, generic_id_spans, iban_valid,
     generic_dates, dob_spans, bank_spans, address_lines, address_blocks, alias_links, alias_mentions, alias_clusters, guard_filter, name_spans, document_names, name_scores, heading_ranges, sentence_split, document_spans,
     merge_spans, stable_ids, entity_tokens, name_tokens, pseudonym_kinds, match_case, shaped, redact_documents, replacement_plan, leakage, audit_entries, audit_summary, html_diff, coref_links, email_redacted, email_plan,
-    redact_offsets, email_audit, email_audit_summary, email_leakage, residual_scan, email_diff, document_audit, metrics_prf, metrics_summary, metrics_confusion, fuzz_variants, stream_of_conversations,
+    redact_offsets, email_audit, email_audit_summary, email_leakage, residual_scan, email_diff, email_coverage, document_audit, metrics_prf, metrics_summary, metrics_confusion, fuzz_variants, stream_of_conversations,
 )}

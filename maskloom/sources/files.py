@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.verify import audit_entries, audit_summary, html_diff, leaking
+from ..operators.verify import audit_entries, audit_summary, document_audit, html_diff, leaking
 
 
 class UnsupportedFormat(ValueError):
@@ -26,8 +27,15 @@ def read_texts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
     return raw.select("doc_id", F.regexp_replace("text", "^﻿", "").alias("text"))
 
 
-def write_texts(df: DataFrame, folder: str, text_col: str = "redacted", id_col: str = "doc_id") -> None:
-    """A file per row, named like the row's, byte for byte. Files of one name in different folders would meet; ids must differ."""
+def write_texts(df: DataFrame, folder: str, text_col: str = "redacted", id_col: str = "doc_id", encoding: str = "UTF-8", newline: str | None = None) -> None:
+    """A file per row, named like the row's, byte for byte; newline, if given, takes the place of every line end.
+
+    Two rows of one file name would overwrite each other: that is an error before anything is written.
+    """
+    base = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    name = F.element_at(F.split("id", "/"), -1)
+    if (twice := base.groupBy(name.alias("name")).count().where("count > 1").first()) is not None:
+        raise ValueError(f"{twice['count']} rows would be written to one file {twice['name']!r}")
 
     def put(rows: object) -> None:
         from pyarrow import fs
@@ -35,10 +43,11 @@ def write_texts(df: DataFrame, folder: str, text_col: str = "redacted", id_col:
         for r in rows:
             store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
             store.create_dir(root, recursive=True)
+            text = r[1] if newline is None else re.sub("\r\n|\r|\n", lambda _: newline, r[1])
             with store.open_output_stream(f"{root}/{os.path.basename(r[0])}", compression=None) as out:
-                out.write(r[1].encode())
+                out.write(text.encode(encoding))
 
-    df.select(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).foreachPartition(put)
+    base.foreachPartition(put)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {".txt": read_texts, ".parquet": lambda spark, path, **kw: spark.read.parquet(path), ".jsonl": lambda spark, path, **kw: spark.read.json(path)}
@@ -67,10 +76,10 @@ def write_file(df: DataFrame, path: str, kind: str | None = None, **options: obj
 
 
 def write_bundle(df: DataFrame, folder: str, secret: str | None = None, id_col: str = "doc_id") -> None:
-    """audit, summary, plan, verification (JSON) and diff (a column of HTML) of what redact() gives. Refused if the secret shows."""
+    """audit, summary, documents, plan, verification (JSON) and diff (a column of HTML) of what redact() gives. Refused if the secret shows."""
     diff = df.select(id_col, html_diff(F.col("norm"), F.col("redacted"), F.col("plan")).alias("html"))
     entries = audit_entries(df, id_col)
-    parts = {"audit": entries, "summary": audit_summary(entries), "plan": df.select(id_col, "plan"), "verification": df.select(id_col, "report", "findings"), "diff": diff}
+    parts = {"audit": entries, "summary": audit_summary(entries), "documents": document_audit(df, secret, id_col), "plan": df.select(id_col, "plan"), "verification": df.select(id_col, "report", "findings"), "diff": diff}
     for name, part in parts.items():
         if not leaking(part, secret, part.columns).isEmpty():
             raise ValueError(f"the secret stands in {name}; nothing of it was written")

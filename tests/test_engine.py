@@ -1,14 +1,16 @@
 """Detectors, linking, replacement and checks on the inputs that define them."""
 
+import base64
 import hashlib
 import hmac
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions import keys, text
 from maskloom.operators import compose, detect, evaluate, link, names, plan, pseudonyms, verify
-from maskloom.plans.redaction import redact
+from maskloom.plans.redaction import redact, spans_of
 from maskloom.schema import Config, load, merged
 
 CASES = {
@@ -130,3 +132,137 @@ def test_configuration(tmp_path):
     for bad in ({"min_confidence": 1.1}, {"nonsense": 1}):
         with pytest.raises(ValueError):
             load(overrides=bad)
+
+
+MORE = {
+    "email": [("user+tag@sub.example.co.uk", ["user+tag@sub.example.co.uk"]), ('"odd..name"@Example.ORG', ['"odd..name"@Example.ORG']), ("(john@example.org),", ["john@example.org"]), ("john..doe@example.com", []), ("john.@example.com", []), (".john@example.com", []), ("foo@example-.com", []), ("a@b.co.x1 and c@d.org.", ["a@b.co", "c@d.org"])],
+    "bank_org": [("Chase Bank, N.A. lends", ["Chase Bank, N.A."]), ("Citibank, N.A. lends", ["Citibank, N.A."]), ("Example Trust Company", ["Example Trust Company"]), ("Standard Chartered Bank PLC and us", ["Standard Chartered Bank PLC"]), ("State Street Bank & Trust Company", ["State Street Bank & Trust Company"]), ("the bank shall pay", []), ("First National Bank of Ohio, National Association.", ["First National Bank of Ohio, National Association"])],
+    "ner_regex": [("John Doe executed this with Acme LLC.", ["John Doe", "Acme LLC"]), ("(John Doe), who", ["John Doe"]), ("Buyer", []), ("of Acme Inc. and Acme Inc", ["Acme Inc.", "Acme Inc"]), ("Mary-Jane O'Neill", []), ("at Springfield, IL since", ["Springfield, IL"]), ("Jean-Luc Picard's ship", ["Jean-Luc Picard"]), ("Anna-Maria Smith's ship", ["Anna-Maria Smith"])],
+    "aliases": [('Acme LLC (hereinafter referred to as "Seller")', ["Seller"]), ('Jane Smith, a/k/a "Janie"', ["Janie"]), ("Robert Roe fka “Rob Roe”", ["Rob Roe"]), ("aka the party", []), ("“johnny”", []), ('John Doe\nHereinafter "Morgan" signs', ["Morgan"]), ('he is hereinafter "a long name of more than six words"', [])],
+    "date_dob": [("D.O.B.—  03/18/1976. Executed on May 9, 1960", ["03/18/1976"]), ("DOB: February 29, 2021", []), ("born on May 9, 1960", ["May 9, 1960"])],
+    "account_ids": [("Ref: 123-456", ["123-456"]), ("Account: 1234 5678", ["1234 5678"]), ("eIBAN 12345678", ["12345678"])],
+}
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_what_detectors_find(spark, name):
+    df = spark.createDataFrame(MORE[name], "text string, want array<string>")
+    for r in df.select("text", "want", detect.detect("text", Config(), (name,)).alias("s")).collect():
+        assert [s.text for s in r.s if s.subtype != "swift_bic"] == r.want, r.text
+
+
+def test_alias_subjects(spark):
+    texts = ['John Doe, hereinafter "Morgan", agrees', 'John Doe\nHereinafter "Morgan" signs', 'We, the undersigned,\n\nJohn Doe of Acme\n\nand hereafter "Morgan" signs', 'nobody\nhereinafter "Morgan" signs']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.s[0] for r in df.select("id", detect.detect("text", Config(), ("aliases",)).alias("s")).collect()}
+    pick = lambda i: (got[i].confidence, got[i].attrs["subject_text"], got[i].attrs["subject_guess"], got[i].attrs["subject_guess_line"])
+    assert [pick(i) for i in range(4)] == [(0.99, "John Doe", None, None), (0.97, None, "John Doe", "0"), (0.97, None, "John Doe of Acme", "2"), (0.95, None, None, None)]
+    spans = {r.id: r.spans for r in spans_of(df, Config(), "text").collect()}
+    person, alias = ({s.label: s for s in spans[2]}[x] for x in ("PERSON", "ALIAS_LABEL"))
+    assert person.text == "John Doe" and alias.entity_id == person.entity_id
+
+
+def test_a_half_replaced_name_is_a_leak(spark):
+    """What is left of a name stands beside the pseudonym: the finding meets a replaced place but isn't inside it."""
+    plan_of = lambda start, end, new: [(start, end, "Smith", new, "PERSON", None, "x", None, False, 0, None)]
+    kind = "text string, plan array<struct<start:int,end:int,original:string,replacement:string,label:string,subtype:string,source:string,entity_id:string,skip:boolean,retries:int,reason:string>>"
+    rows = [("we saw Mary Alice Jones there", plan_of(12, 17, "Alice")), ("we saw Alice Jones there", plan_of(7, 12, "Alice Jones")), ("so we saw Alice Jones Ray", plan_of(10, 20, "Alice Jones"))]
+    got = verify.scan(spark.createDataFrame(rows, kind), "text", "plan", Config()).select("text", "findings", "report").collect()
+    assert [(r.report.residual_count, r.report.score, [f.ignored for f in r.findings]) for r in got] == [(1, 3.0, [None]), (0, 0.0, ["replacement_match"]), (1, 3.0, [None])]
+    text = "Email john@acme.com, Phone +12125550000, SSN 123-45-6789. John Doe signed."
+    r = verify.scan(spark.createDataFrame([(text,)], "text string"), "text", None, Config(min_confidence=0.0)).first()
+    assert {f.label: f.ignored for f in r.findings} == {"EMAIL": None, "PHONE": None, "ACCOUNT_ID": None, "PERSON": None} and r.report.score == 11.0
+
+
+def test_safety(spark):
+    """Draws that are rejected are counted with their reason, and a name that nothing can replace gets a placeholder."""
+    texts = ["We met Of Of today", "mail me@acme.com or call +1 (650) 253-0000; SSN 123-45-6789, card 4111 1111 1111 1111, EIN 12-3456789"]
+    rows = redact(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), Config(secret="k")).orderBy("doc_id").collect()
+    (entry,) = rows[0].plan
+    assert entry.replacement.startswith("PERSON_") and (entry.retries, entry.reason) == (3, "matches_source")
+    assert len(rows[1].plan) == 5 and all(e.retries == 0 and e.reason is None and e.replacement != e.original for e in rows[1].plan)
+    kinds = "label string, subtype string, text string, x string, want string"
+    bad = [("EMAIL", None, "a@b.com", "a@b.com", "matches_source"), ("EMAIL", None, "a@b.com", "c@evil.com", "unsafe_domain"), ("EMAIL", None, "a@b.com", "@example.org", "empty_local"), ("EMAIL", None, "a@b.com", "c@bé.org", "non_ascii_domain"), ("PHONE", None, "650-253-0000", "650-253-0001", "unsafe_non_555"), ("PHONE", None, "650-253-0000", "650-555-00012", "invalid_digit_count"), ("ACCOUNT_ID", "cc", "4111111111111111", "4440001234567891", "luhn_invalid"), ("ACCOUNT_ID", "routing_aba", "021000021", "021000022", "aba_invalid"), ("ACCOUNT_ID", "ssn", "123-45-6789", "666-45-6789", "ssn_invalid"), ("ACCOUNT_ID", "swift_bic", "DEUTDEFF", "DEUT DEF", "unsafe_bic"), ("PERSON", None, "John", "Avery", None)]
+    df = spark.createDataFrame(bad, kinds)
+    assert [r[0] for r in df.select(pseudonyms.unsafe(F.struct("label", "subtype", "text"), F.col("x"))).collect()] == [b[4] for b in bad]
+
+
+def test_many_spans_in_one_text(spark):
+    """Twenty thousand addresses in one text: plan, application and second scan take seconds."""
+    import time
+
+    text = " ".join(f"user{i}@acme{i % 7}.com" for i in range(20_000))
+    began = time.time()
+    r = redact(spark.createDataFrame([(1, text)], "doc_id int, text string"), Config(secret="k", detectors=("email",))).select("redacted", "report", F.size("plan").alias("n")).first()
+    assert r.n == 20_000 and r.report.residual_count == 0 and "acme" not in r.redacted and time.time() - began < 60
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(i, f"mail jo{i}@acme.com") for i in range(9)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    done = redact(spark.read.parquet(str(tmp_path / "t")), Config(secret="k")).where("doc_id = 5").select("doc_id", "redacted")
+    assert "EqualTo(doc_id,5)" in done._jdf.queryExecution().executedPlan().toString() and done.count() == 1
+
+
+def test_own_detector_and_model(spark):
+    """A pandas UDF in a detector of one's own, and one that clusters mentions."""
+    import pandas as pd
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def words(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"start": m.start(), "end": m.end()} for m in re.finditer("secret-[0-9]+", t)])
+
+    def find(text, cfg):
+        m = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substr(text, x["start"] + 1, x["end"] - x["start"]).alias("text"))
+        return F.transform(words(text), lambda x: detect.span(m(x), "OTHER", "own", 0.9))
+
+    before = list(detect.REGISTRY)
+    try:
+        detect.register(detect.Detector("own", find))
+        df = spark.createDataFrame([("a secret-12 b",)], "text string")
+        assert [s.text for s in df.select(detect.detect("text", Config(), ("own",)).alias("s")).first().s] == ["secret-12"]
+    finally:
+        detect.REGISTRY[:] = before
+
+    @F.pandas_udf("array<array<struct<start:int,end:int>>>")
+    def mentions(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [[{"start": m.start(), "end": m.end()} for m in re.finditer(r"\bMr Doe|John Doe|\bhe\b", t)]])
+
+    text = "John Doe came. Then Mr Doe said that he left. Mary Roe stayed."
+    r = redact(spark.createDataFrame([(text,)], "text string"), Config(), check=False, coref=mentions).first()
+    ids = {s.text: s.entity_id for s in r.spans}
+    assert ids["John Doe"] == ids["Then Mr Doe"] != ids["Mary Roe"]
+
+
+def test_variants(spark):
+    texts = spark.createDataFrame([(i, DOC) for i in range(4)] + [(9, None)], "doc_id int, text string")
+    got = evaluate.variants(texts, 6, 1).collect()
+    assert len(got) == 30 and len({r.text for r in got}) > 15 and {r.text for r in got if r.doc_id == 9} == {""}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, evaluate.variants(texts.repartition(3), 6, 1).collect()))
+    for r in got:
+        key, want = hashlib.sha256(f"1:{r.doc_id}:{r.variant}".encode()).hexdigest(), "" if r.doc_id == 9 else DOC
+        for k, (rx, choices) in enumerate(evaluate.CHANGES):
+            if int(key[4 * k : 4 * k + 2], 16) % 2 == 0:
+                want = re.sub(rx, choices[int(key[4 * k + 2 : 4 * k + 4], 16) % len(choices)].replace("$1", r"\1"), want)
+        assert r.text == want
+
+
+def test_places_and_ids(spark):
+    r = spark.range(1).select(text.line_col(F.array(F.lit(0), F.lit(4), F.lit(9)), F.lit(6)).alias("p"), F.length(keys.stable_id("k", F.lit("x"), F.lit("GLOBAL"), None, 52)).alias("n")).first()
+    assert (r.p.line, r.p.col, r.n) == (1, 2, 52)
+    whole = base64.b32encode(hashlib.sha256(b"x").digest()).decode().lower().rstrip("=")
+    assert spark.range(1).select(keys.base32(F.sha2(F.lit("x"), 256), 52)).first()[0] == whole
+    with pytest.raises(ValueError):
+        keys.stable_id("k", F.lit("x"), F.lit("GLOBAL"), None, 53)
+    assert [detect.region_of(x) for x in ("en_US", "en-GB", "US", "en", "xx_ZZ")] == ["US", "GB", "US", None, None]
+
+
+def test_evaluation_of_texts(spark):
+    gold = "array<struct<start:int,end:int,label:string,subtype:string>>"
+    rows = [(1, "mail jo@acme.com, SSN 123-45-6789", [(5, 16, "EMAIL", None), (22, 33, "ACCOUNT_ID", "ssn")]), (2, "call +1 650 253 0000", [(5, 20, "PHONE", None)]), (3, "DOB: 03/18/1976", [(5, 15, "DOB", None)])]
+    df = spark.createDataFrame(rows, f"doc_id int, text string, gold {gold}")
+    by = {r.label: r for r in evaluate.prf(evaluate.evaluated(df, fine=True)).collect()}
+    assert all((by[x].tp, by[x].fp, by[x].fn) == (1, 0, 0) for x in ("EMAIL", "PHONE", "ACCOUNT_ID:ssn"))
+    assert by["DOB"].tp + by["DOB"].fn == 1 and by[None].fn == by["DOB"].fn
+    s = {r.average: r for r in evaluate.summary(evaluate.prf(evaluate.evaluated(df)).where("label is null or label in ('EMAIL', 'PHONE')")).collect()}
+    assert s["macro"].f1 == 1.0 and 0 < s["micro"].f1 <= 1
+    assert "ACCOUNT_ID" in {r.gold_label for r in evaluate.confusion(evaluate.evaluated(df)).collect()}
