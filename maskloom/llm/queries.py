@@ -69,7 +69,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses":
 #: White space that ends a word, as a class of DuckDB's patterns.
 _SPACE = r"[\x20\x09-\x0D]"
 
+
+def _listed(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _licence_sql() -> str:
+    """Every alignment of every base phrase, and every band of every passage whose words a text has enough of."""
+    rows = ", ".join(f"('{label}', {_listed(words)}, {_listed(phrases)}, {str(base).lower()})" for label, words, phrases, base in licenses.templates())
+    width, least = 2 * licenses.SHIFT, licenses.LEAST_SCORE
+    split = "regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + licenses.NOT_WORD + "')"
+    return rf"""
+with t(label, words, phrases, base) as (values {rows}),
+d as (select doc_id, list_filter({split}, lambda x: x <> '') as w from documents),
+exact as (select doc_id, label, i - 1 as s, 1.0::double as score from d, t, unnest(generate_series(1, len(w) - len(words) + 1)) as u(i) where base and w[i:i + len(words) - 1] = words),
+pairs as (select doc_id, w, label, words, phrases from d, t where not base and 100 * len(list_filter(words, lambda x: list_contains(w, x))) >= {least} * len(words)),
+bands as (select *, s from pairs, unnest(generate_series(-4 * ((len(words) + {width}) // 4 + 1), len(w), {licenses.SHIFT})) as u(s)),
+held as (select *, len(list_filter(generate_series(1, len(words)), lambda q: list_contains(w[greatest(s + q - 1, 0) + 1:greatest(s + q - 1 + {width}, 0)], words[q]))) as n,
+                ' ' || array_to_string(w[greatest(s, 0) + 1:s + len(words) + {width}], ' ') || ' ' as around from bands),
+near as (select doc_id, label, n / len(words) as score from held where 100 * n >= {least} * len(words) and len(list_filter(phrases, lambda p: not contains(around, ' ' || p || ' '))) = 0),
+b as (select doc_id, count(*) as n, min(s) as first, max(s) as last, string_agg(distinct label, ',' order by label) as labels from exact group by doc_id),
+a as (select doc_id, string_agg(distinct label, ',' order by label) as labels, max(score) as score from (select doc_id, label, score from exact union all select * from near) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(b.n, 0) as n_base, first as first_word, last as last_word, coalesce(b.labels, '') as base_labels, coalesce(a.labels, '') as labels, coalesce(a.score, 0) as score
+from d left join b using (doc_id) left join a using (doc_id)
+"""
+
+
+def _secret_sql() -> str:
+    """Matches of each kind with their places, the owners and repositories of each value, and what they say of it."""
+    kinds = {"assign": (secrets.ASSIGN, f"length(value) >= {secrets.LEAST_VALUE}"), "access": (secrets.ACCESS, "true"), "hex": (secrets.HEX, "true"), "url": (secrets.URL, "true"), "key": (secrets.KEY, "true"), "jwt": (secrets.JWT, "true"), "pem": (secrets.PEM, "true"), "mixed": (secrets.MIXED, "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]')")}
+    parts = []
+    for kind, (pattern, rule) in kinds.items():
+        rx = pattern.replace("'", "''")
+        value = f"regexp_extract(found, '{rx}', 2)" if kind == "assign" else "found"
+        parts.append(rf"""
+m_{kind} as (select doc_id, owner, regexp_extract_all(text, '{rx}') as m, regexp_split_to_array(text, '{rx}') as g from d where regexp_matches(text, '{rx}')),
+e_{kind} as (select doc_id, owner, m[i] as found, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::bigint as s from m_{kind}, unnest(generate_series(1, len(m))) as u(i)),
+s_{kind} as (select * from (select doc_id, owner, '{kind}' as kind, {secrets.KINDS.index(kind)} as rank, s, s + length(found) as e, {value} as value from e_{kind}) where {rule})""")
+    every = " union all ".join(f"select * from s_{kind}" for kind in kinds)
+    count = lambda kind: f"count(*) filter (where kind = '{kind}') as n_{kind}"
+    shown = lambda what, rule: f"coalesce(string_agg({what}, ',' order by s, rank, e) filter (where {rule}), '')"
+    place = "kind || ':' || s || ':' || e"
+    return rf"""
+with d as (select doc_id, coalesce(source, '') as owner, coalesce(text, '') as text from documents),{",".join(parts)},
+every as ({every}),
+o as (select kind, value, count(distinct owner) as n_owners, count(distinct (owner, doc_id)) as n_repos from every group by all),
+j as (select *, n_owners < {secrets.WIDE} and (n_owners = 1 or n_repos < {secrets.SPREAD}) as live from every join o using (kind, value)),
+g as (select doc_id, {count("assign")}, {count("access")}, {count("hex")}, {shown(place, "rank < 3")} as base, {shown(place, "rank < 3 or live")} as spans, count(*) filter (where live) as n_live, count(*) filter (where not live) as n_copied,
+             {shown("n_repos::varchar", "rank < 3 or live")} as n_repos, {shown("n_owners::varchar", "rank < 3 or live")} as n_owners from j group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied, coalesce(n_repos, '') as n_repos, coalesce(n_owners, '') as n_owners
+from d left join g using (doc_id)
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": _licence_sql(),
+    "op8_secrets": _secret_sql(),
     "op9_jaccard": rf"""
 with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') as w from documents),
 s as (select distinct doc_id, case when len(w) < 3 then w else list_slice(w, i, i + 2) end as g from d, unnest(generate_series(1, greatest(len(w) - 2, 1))) as u(i) where len(w) > 0),
