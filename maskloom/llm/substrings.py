@@ -317,6 +317,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     table = cut(base.select("row", "text").mapInArrow(find, "row long, anchor long, block long, first int, last int, inside int"), "blocks")
     stats = table.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("differ")).where("n > 1")
     stats = cut(stats.select("anchor", "differ"), "anchors")
+    discard(spark)
     shared = cut(table.join(stats, "anchor"), "shared")
     discard(spark, table, stats)
     span = lambda a, b: F.struct(F.col(a).alias("a"), (F.col(b) + width).alias("b")).alias("s")
@@ -331,9 +332,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     ranges = kinds.select("anchor", "n", "x.row", "x.first", "x.last", (F.col("x.first") + F.col("x.inside")).alias("at"))
     groups = cut(with_texts(ranges).mapInArrow(cores, "row long, anchor long, g int, first int, last int, at int, core long, n long"), "groups")
     discard(spark)
-    twice = groups.groupBy("anchor", "g", "core").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-    left = cut(groups.join(cut(twice, "cores"), ["anchor", "g", "core"], "left_semi").select("row", "anchor", "n", "first", "last", "at"), "left")
-    discard(spark, groups)
+    twice = cut(groups.groupBy("anchor", "g", "core").agg(F.sum("n").alias("m")).where("m > 1").drop("m"), "cores")
+    discard(spark)
+    left = cut(groups.join(twice, ["anchor", "g", "core"], "left_semi").select("row", "anchor", "n", "first", "last", "at"), "left")
+    discard(spark, groups, twice)
     rows = cut(with_texts(left).mapInArrow(hashed, "row long, key long, window long, n long, start int"), "windows")
     discard(spark, left)
     again = cut(rows.groupBy("key", "window").agg(F.sum("n").alias("n")).where("n > 1").select("key", "window"), "repeated")
