@@ -3,8 +3,10 @@
 ``composed`` is a Column expression; the others go through Python, by Arrow batches, and stand outside of the hot path.
 """
 
+import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,26 +16,98 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.text import DROPPED, REPLACED, let
 
 
+#: Where the Hangul letters of each kind and the syllables made of them begin, and how many there are.
+LEAD, VOWEL, TAIL, SYLLABLE, VOWELS, TAILS = 0x1100, 0x1161, 0x11A7, 0xAC00, 21, 28
+
+
+@functools.lru_cache(maxsize=1)
 def pairs() -> dict[str, str]:
-    """Letter and mark to the one character for both, for Latin, Greek and Cyrillic letters, from Unicode's own data."""
+    """A character and a mark to the one character for both, from Unicode's own data."""
     out = {}
-    for code in [*range(0xC0, 0x250), *range(0x370, 0x500), *range(0x1E00, 0x2000)]:
+    for code in range(0xC0, 0x20000):
         parts = unicodedata.decomposition(chr(code)).split()
         if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", chr(code)) == chr(code):
             out[chr(int(parts[0], 16)) + chr(int(parts[1], 16))] = chr(code)
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def singles() -> dict[str, str]:
+    """Characters that stand for one other character."""
+    every = {chr(c): unicodedata.normalize("NFC", chr(c)) for c in range(0xC0, 0x30000) if not 0xD800 <= c < 0xE000}
+    return {a: b for a, b in every.items() if a != b and len(b) == 1}
+
+
+@functools.lru_cache(maxsize=1)
+def expanded() -> dict[str, str]:
+    """Characters that are always written as several."""
+    every = {chr(c): unicodedata.normalize("NFC", chr(c)) for c in range(0xC0, 0x30000) if not 0xD800 <= c < 0xE000}
+    return {a: b for a, b in every.items() if len(b) > 1}
+
+
+@functools.lru_cache(maxsize=1)
+def single_ranges() -> str:
+    """A character class of few ranges that holds all of singles() and some characters round them."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, singles())):
+        if runs and c - runs[-1][1] <= 64:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def of_code(code: Column) -> Column:
+    """The character of a number below 65,536."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def syllable(letters: Column) -> Column:
+    """Two or three Hangul letters as one syllable."""
+    at = lambda i, base: F.ascii(F.substr(letters, F.lit(i), F.lit(1))) - base
+    tail = F.when(F.length(letters) == 3, at(3, TAIL)).otherwise(0)
+    return of_code(SYLLABLE + (at(1, LEAD) * VOWELS + at(2, VOWEL)) * TAILS + tail)
+
+
+def rewritten(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """The text with new(match) in place of every match."""
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.zip_with(F.split(text, pattern, -1), F.array_append(F.transform(m, new), F.lit("")), lambda a, b: F.concat(a, b)))
+    return F.array_join(found, "")
+
+
 def composed(text: Column) -> Column:
-    """The text with combining marks composed. A text without marks costs one test; letters take two marks at most."""
-    rx = r"\p{L}\p{M}"
-    table = F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in pairs().items())), F.lit(","), F.lit("="))
+    """NFC: marks composed, up to three a letter, Hangul letters to syllables, and characters that stand for another replaced.
+
+    A text without any such character costs four tests. Marks that aren't in canonical order are left in the order they have, and
+    so is one that composes only past another mark; ``nfc`` covers these too.
+    """
+    table = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in pairs().items() if ";" not in k and "=" not in k)), F.lit(";"), F.lit("="))
+    others = {k: v for k, v in pairs().items() if ";" in k or "=" in k}
+    hangul = r"[\u1100-\u1112][\u1161-\u1175][\u11A8-\u11C2]?|[\uAC00-\uD7A3][\u11A8-\u11C2]"
+
+    def pair(p: Column) -> Column:
+        return F.coalesce(F.element_at(table, p), *(F.when(p == k, v) for k, v in others.items()), p)
+
+    def marks(t: Column) -> Column:
+        return rewritten(t, r"\P{M}\p{M}", pair)
+
+    def vowels(t: Column) -> Column:
+        return rewritten(t, signs + r"\p{M}", pair)
+
+    signs = "[" + "".join(sorted({k[0] for k in pairs() if unicodedata.category(k[0]).startswith("M")})) + "]"
+    apart = f"[{''.join(sorted(expanded()))}]"
+    parts = F.create_map(*(F.lit(x) for kv in expanded().items() for x in kv))
 
-    def once(t: Column) -> Column:
-        found = let(F.regexp_extract_all(t, F.lit(rx), F.lit(0)), lambda m: F.zip_with(F.split(t, rx, -1), F.array_append(F.transform(m, lambda p: F.coalesce(F.element_at(table, p), p)), F.lit("")), lambda a, b: F.concat(a, b)))
-        return F.array_join(found, "")
+    def jamo(m: Column) -> Column:
+        first = F.ascii(m)
+        late = of_code(first + F.ascii(F.substr(m, F.lit(2), F.lit(1))) - TAIL)
+        return F.when(first >= SYLLABLE, F.when((first - SYLLABLE) % TAILS == 0, late).otherwise(m)).otherwise(syllable(m))
 
-    return F.when(text.rlike(r"\p{M}"), let(let(text, once), once)).otherwise(text)
+    single = F.translate(text, "".join(singles()), "".join(singles().values()))
+    out = F.when(text.rlike(single_ranges()), single).otherwise(text)
+    out = let(out, lambda t: F.when(t.rlike(r"\p{M}"), let(let(let(let(t, vowels), marks), marks), marks)).otherwise(t))
+    out = let(out, lambda t: F.when(t.rlike(apart), rewritten(t, apart, lambda c: F.element_at(parts, c))).otherwise(t))
+    return let(out, lambda t: F.when(t.rlike(hangul), rewritten(t, hangul, jamo)).otherwise(t))
 
 
 def nfc(text: Column) -> Column:

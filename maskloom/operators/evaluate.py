@@ -80,12 +80,12 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 #: What a variant may change, each by the toss of a coin: a pattern and what stands for its matches.
 CHANGES = [
-    (r"(?i)\bhereinafter\b(?! referred)", ["hereinafter", "Hereafter", "hereinafter referred to as"]),
+    (r"(?i)\bhereinafter(?: referred to as)?\b", ["hereinafter", "Hereafter", "hereinafter referred to as"]),
     (r"\bDOB:", ["D.O.B.:", "Date of Birth:", "Birthdate:"]),
-    ('"([^"\n]*)"', ["\u201c$1\u201d"]),
-    (r"(?<=[a-z]{3}) (?=[a-z])", ["\u00a0", "\n"]),
-    (r"(?<=[aeiou])(?=[b-df-h])", ["\u200b"]),
-    (r"(?<=[a-z]{4})(?=[b-d][a-z]{2})", ["-\n"]),
+    (r'"([^"\n]*)"', ["\u201c$1\u201d"]),
+    (r"([a-z]{3}) ([a-z])", ["$1\u00a0$2", "$1\n$2"]),
+    (r"([aeiou])([b-df-h])", ["$1\u200b$2"]),
+    (r"([a-z]{4})([b-d][a-z]{2})", ["$1-\n$2"]),
     (r"\r?\n", ["\n", "\r\n"]),
 ]
 

@@ -6,7 +6,7 @@ import hashlib
 
 from ..functions.keys import ALPHABET, NAMESPACE
 from ..functions.text import ABBREVIATIONS
-from ..operators import detect
+from ..operators import detect, evaluate
 from ..operators.pseudonyms import FAMILY, GIVEN, PLACES, SAFE_DOMAINS, STATES, STREETS, TITLES, TOWNS, WORDS
 from . import shapes
 from .shapes import number, word
@@ -388,6 +388,20 @@ c as (select label, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigin
 prf as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as recall,
                case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0.0 end as f1 from c)
 """
+
+
+def variants_sql(n: int, seed: int) -> str:
+    """The changes of evaluate.CHANGES one after the other, each by two bytes of a digest."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    steps = [f"v0 as (select doc_id, k as variant, sha256('{seed}:' || doc_id || ':' || k) as key, coalesce(text, '') as text from documents, unnest(generate_series(0, {n - 1})) as u(k))"]
+    for i, (rx, choices) in enumerate(evaluate.CHANGES):
+        byte = lambda j: f"('0x' || substr(key, {4 * i + 1 + 2 * j}, 2))::int"  # noqa: B023, E731
+        each = " ".join(f"when {j} then regexp_replace(text, {quoted(rx)}, {quoted(c.replace('$', chr(92)))}, 'g')" for j, c in enumerate(choices))
+        steps.append(f"v{i + 1} as (select doc_id, variant, key, case when {byte(0)} % 2 = 0 then case {byte(1)} % {len(choices)} {each} end else text end as text from v{i})")
+    return f"with {', '.join(steps)} select doc_id, variant::int as variant, text from v{len(evaluate.CHANGES)}"
+
+
+ORACLE_SQL["fuzz_variants"] = variants_sql(3, 7)
 ORACLE_SQL["metrics_prf"] = f"{_PRF} select * from prf"
 ORACLE_SQL["metrics_summary"] = f"""{_PRF}
 select 'macro' as average, avg(precision) as precision, avg(recall) as recall, avg(f1) as f1 from prf where label is not null

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,10 +243,19 @@ def test_variants(spark):
         key, want = hashlib.sha256(f"1:{r.doc_id}:{r.variant}".encode()).hexdigest(), "" if r.doc_id == 9 else DOC
         for k, (rx, choices) in enumerate(evaluate.CHANGES):
             if int(key[4 * k : 4 * k + 2], 16) % 2 == 0:
-                want = re.sub(rx, choices[int(key[4 * k + 2 : 4 * k + 4], 16) % len(choices)].replace("$1", r"\1"), want)
+                want = re.sub(rx, choices[int(key[4 * k + 2 : 4 * k + 4], 16) % len(choices)].replace("$1", r"\1").replace("$2", r"\2"), want)
         assert r.text == want
 
 
+def test_nfc(spark):
+    """Composition against Unicode's own: Latin with up to three marks, kana, Indic and Arabic letters, Hangul, singletons."""
+    plain = ["café \u1e69 \u01d7 \u1ed9 q\u0323\u0307", "がぎぐげごパピプ ヴ", "한국어 각 뷁 가나다 힣", "\u0958 \u09cb \u0bca \u0cca \u0d4a \u0623 \u0624 \u0626", "\u212b \u2126 \u212a \u1fbe \uf900 \u037e \U0002f800", "\u2260 \u226e \u2204", "x" * 50, "", "\u1112\u1161\u11ab\u1100\u1173\u11af jamo"]
+    texts = plain + [unicodedata.normalize("NFD", t) for t in plain]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", compose.composed(F.col("t")).alias("n")).collect()}
+    assert got == {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+
+
 def test_places_and_ids(spark):
     r = spark.range(1).select(text.line_col(F.array(F.lit(0), F.lit(4), F.lit(9)), F.lit(6)).alias("p"), F.length(keys.stable_id("k", F.lit("x"), F.lit("GLOBAL"), None, 52)).alias("n")).first()
     assert (r.p.line, r.p.col, r.n) == (1, 2, 52)
