@@ -44,6 +44,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def record(**fields: Column) -> Column:
+    """A struct of named values."""
+    return F.struct(*(value.alias(name) for name, value in fields.items()))
+
+
 def step(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column added or replaced that the optimizer leaves where it is, as a row generated from each row.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.text import ANY_EOL, MATCH, contains, empty, folded, headings, let, lines, listed, matches, one_of, overlaps
+from ..functions.text import ANY_EOL, MATCH, contains, empty, folded, headings, let, lines, listed, matches, one_of, overlaps, record
 from ..schema import SPANS, Config
 from .detect import by_start, ordered, span
 
@@ -140,7 +140,8 @@ def surnames_joined(spans: Column) -> Column:
     """Persons of whose name only the last word stands get the entity of the person before, of those with that last word the one
     that ended first. One scan over all persons in order of last words."""
     state, tail = "struct<tail:string,end:int,id:string>", lambda s: F.lower(F.element_at(F.split(s["text"], r"(?U)\s+"), -1))
-    people = lambda ss: F.filter(F.transform(ss, lambda s, i: F.when(s["label"] == "PERSON", F.struct(tail(s).alias("tail"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), s["entity_id"].alias("id")))), lambda x: x.isNotNull())
+    person = lambda s, i: F.when(s["label"] == "PERSON", record(tail=tail(s), start=s["start"], end=s["end"], i=i, id=s["entity_id"]))
+    people = lambda ss: F.filter(F.transform(ss, person), lambda x: x.isNotNull())
 
     def step(first: Column, p: Column) -> Column:
         same = F.coalesce(first["tail"] == p["tail"], F.lit(False))

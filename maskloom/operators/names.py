@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import let, one_of
+from ..functions.text import let, one_of, record
 
 # Word lists that decide the score.
 PARTICLES = "de del della di da van von der den dos das du la le of bin bint ibn".split()
@@ -82,7 +82,8 @@ def parsed(text: Column) -> Column:
             cut = F.coalesce(at, F.when(F.coalesce(two, F.lit(False)), n - 2).otherwise(F.greatest(n - 1, F.lit(0))))
             after = F.slice(m, cut + 1, n)
             lead = F.filter(after, lambda t, i: F.forall(F.slice(after, 1, i + 1), is_particle))
-            return F.struct(F.slice(ts, 1, first).alias("honorifics"), F.slice(m, 1, cut).alias("given"), lead.alias("particles"), F.slice(after, F.size(lead) + 1, n).alias("surname"), F.slice(r, n + 1, F.size(r)).alias("suffixes"))
+            surname, suffixes = F.slice(after, F.size(lead) + 1, n), F.slice(r, n + 1, F.size(r))
+            return record(honorifics=F.slice(ts, 1, first), given=F.slice(m, 1, cut), particles=lead, surname=surname, suffixes=suffixes)
 
         return let(rest, lambda r: let(main(r), lambda m: split_up(r, m)))
 

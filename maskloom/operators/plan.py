@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.text import empty, in_blocks, let, overlaps, sums_before
+from ..functions.text import empty, in_blocks, let, overlaps, record, sums_before
 from ..schema import PLAN, Config
 from . import pseudonyms as p
 
@@ -62,8 +62,12 @@ def planned(spans: Column, scope: Column, cfg: Config) -> Column:
         # aliases draw from the seed of the person they stand for
         kind = F.when(s["label"] == "ALIAS_LABEL", "PERSON").otherwise(s["label"])
         keep = (s["label"] == "ALIAS_LABEL") & (s["subtype"] == "role") & F.lit(cfg.alias_labels == "keep_roles")
-        fields = lambda r: [s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("original"), r["value"].alias("replacement"), *(s[c].alias(c) for c in ("label", "subtype", "source", "entity_id")), F.coalesce(keep, F.lit(False)).alias("skip"), r["retries"].alias("retries"), r["reason"].alias("reason")]
-        return let(keys.digest(kind, key_of(s), scope, cfg.secret), lambda seed: let(safe(s, seed, cfg), lambda r: F.struct(*fields(r))))
+        own = {c: s[c] for c in ("label", "subtype", "source", "entity_id")}
+
+        def entry(r: Column) -> Column:
+            return record(start=s["start"], end=s["end"], original=s["text"], replacement=r["value"], **own, skip=F.coalesce(keep, F.lit(False)), retries=r["retries"], reason=r["reason"])
+
+        return let(keys.digest(kind, key_of(s), scope, cfg.secret), lambda seed: let(safe(s, seed, cfg), entry))
 
     return F.coalesce(F.when(F.size(spans) > 0, F.filter(F.transform(spans, of), lambda e: e["replacement"].isNotNull())), empty(PLAN)).cast(PLAN)
 

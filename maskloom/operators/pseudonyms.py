@@ -126,7 +126,13 @@ def date(source: Column, seed: Column) -> Column:
     cased = match_case(F.regexp_extract(source, r"\p{L}{3,}", 0), month)
     number = F.dayofmonth(day).cast("string")
     named = F.concat(cased, F.lit(" "), number, F.when(source.contains(","), ",").otherwise(""), F.lit(" "), F.year(day).cast("string"))
-    forms = [(r"^\d{4}-", F.date_format(day, "yyyy-MM-dd")), (r"^\d{1,2}/", F.date_format(day, "MM/dd/yyyy")), (r"^\d{1,2}-", F.date_format(day, "MM-dd-yyyy")), (r"^\p{L}", named), (r"^\d{1,2}(?:st|nd|rd|th)?\s", F.concat_ws(" ", number, cased, F.year(day).cast("string")))]
+    forms = [
+        (r"^\d{4}-", F.date_format(day, "yyyy-MM-dd")),
+        (r"^\d{1,2}/", F.date_format(day, "MM/dd/yyyy")),
+        (r"^\d{1,2}-", F.date_format(day, "MM-dd-yyyy")),
+        (r"^\p{L}", named),
+        (r"^\d{1,2}(?:st|nd|rd|th)?\s", F.concat_ws(" ", number, cased, F.year(day).cast("string"))),
+    ]
     return F.when(date_of(source).isNull(), source).otherwise(F.coalesce(*(F.when(source.rlike(rx), v) for rx, v in forms), source))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ANY_EOL, empty, folded, let, one_of, step
+from ..functions.text import ANY_EOL, empty, folded, let, one_of, record, step
 from ..schema import FINDINGS, PLAN, WEIGHTS, Config
 from .detect import ROLES, by_start, detect
 from .plan import new_starts
@@ -86,7 +86,8 @@ def report(found: Column, cfg: Config) -> Column:
 
     def of(left: Column, gone: Column) -> Column:
         score = F.aggregate(left, F.lit(0), lambda s, f: s + F.coalesce(F.element_at(weight, f["label"]), F.lit(0)))
-        return F.struct(F.size(found).alias("total_found"), F.size(gone).alias("total_ignored"), F.size(left).alias("residual_count"), score.cast("double").alias("score"), counts(left).alias("counts_by_label"), counts(gone).alias("ignored_by_label"))
+        numbers = {"total_found": F.size(found), "total_ignored": F.size(gone), "residual_count": F.size(left), "score": score.cast("double")}
+        return record(**numbers, counts_by_label=counts(left), ignored_by_label=counts(gone))
 
     return let(F.filter(found, lambda f: f["ignored"].isNull()), lambda left: let(F.filter(found, lambda f: f["ignored"].isNotNull()), lambda gone: of(left, gone)))
 
@@ -101,19 +102,30 @@ def scan(df: DataFrame, text_col: str, plan_col: str | None, cfg: Config) -> Dat
 def audit_entries(df: DataFrame, id_col: str = "doc_id", plan_col: str = "plan") -> DataFrame:
     """A row per entry of each plan: id (r0001 ...), offsets before and after, texts, flags, difference in length."""
     at = df.select(id_col, F.posexplode(let(F.array_sort(plan_col), lambda e: let(new_starts(e), lambda n: F.transform(e, lambda x, i: F.struct(x.alias("e"), F.get(n, i).alias("at")))))).alias("i", "x"))
-    return at.select(id_col, F.format_string("r%04d", F.col("i") + 1).alias("id"), "x.e.start", "x.e.end", F.col("x.at").alias("new_start"), "x.e.label", "x.e.source", "x.e.subtype", "x.e.entity_id", F.col("x.e.original").alias("original_text"), F.col("x.e.replacement").alias("replacement_text"), F.col("x.e.skip").alias("skip_replacement"), F.col("x.e.retries").alias("safety_retries"), F.col("x.e.reason").alias("unsafe_rejected"), (F.length("x.e.replacement") - F.col("x.e.end") + F.col("x.e.start")).alias("length_delta"))
+    entry = F.col("x.e")
+    renamed = {"original": "original_text", "replacement": "replacement_text", "skip": "skip_replacement", "retries": "safety_retries", "reason": "unsafe_rejected"}
+    return at.select(
+        id_col,
+        F.format_string("r%04d", F.col("i") + 1).alias("id"),
+        F.col("x.at").alias("new_start"),
+        *(entry[c].alias(c) for c in ("start", "end", "label", "source", "subtype", "entity_id")),
+        *(entry[c].alias(name) for c, name in renamed.items()),
+        (F.length(entry["replacement"]) - entry["end"] + entry["start"]).alias("length_delta"),
+    )
 
 
 def audit_summary(entries: DataFrame, *by: str) -> DataFrame:
     """Counts by label and in all (label null): entries, differences in length, kept ones, draws that were rejected for safety and
     entries with such. by: columns to keep apart. No entries, no row."""
     groups = entries.groupingSets([[*by, "label"], [*by]], *by, "label")
-    return groups.agg(F.count("*").alias("entries"), F.sum("length_delta").alias("length_delta"), F.count_if("skip_replacement").alias("kept"), F.sum("safety_retries").alias("safety_retries"), F.count_if(F.col("safety_retries") > 0).alias("retried"))
+    sums = [F.sum(c).alias(c) for c in ("length_delta", "safety_retries")]
+    return groups.agg(F.count("*").alias("entries"), *sums, F.count_if("skip_replacement").alias("kept"), F.count_if(F.col("safety_retries") > 0).alias("retried"))
 
 
 def document_audit(df: DataFrame, secret: str | None, id_col: str = "doc_id") -> DataFrame:
     """A row per document: the hash of its normalised text, whether a secret was used, and its numbers of entries and residuals."""
-    return df.select(id_col, F.sha2("norm", 256).alias("doc_hash"), F.lit(bool(secret)).alias("seed_present"), F.size("plan").alias("entries"), F.col("report.residual_count").alias("residual_count"), F.col("report.score").alias("score"))
+    left = [F.col(f"report.{c}").alias(c) for c in ("residual_count", "score")]
+    return df.select(id_col, F.sha2("norm", 256).alias("doc_hash"), F.lit(bool(secret)).alias("seed_present"), F.size("plan").alias("entries"), *left)
 
 
 def leaking(df: DataFrame, secret: str | None, columns: list[str]) -> DataFrame:
@@ -131,7 +143,9 @@ def html_diff(text: Column, new: Column, plan: Column) -> Column:
 
     def marked(t: Column, spans: Column) -> Column:
         begin = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-        parts = F.transform(spans, lambda s, i: F.concat(escaped(F.substr(t, begin(i) + 1, s["start"] - begin(i))), F.lit('<mark title="'), s["label"], F.lit('">'), escaped(F.substr(t, s["start"] + 1, s["end"] - s["start"])), F.lit("</mark>")))
+        gap = lambda s, i: escaped(F.substr(t, begin(i) + 1, s["start"] - begin(i)))
+        inside = lambda s: escaped(F.substr(t, s["start"] + 1, s["end"] - s["start"]))
+        parts = F.transform(spans, lambda s, i: F.concat(gap(s, i), F.lit('<mark title="'), s["label"], F.lit('">'), inside(s), F.lit("</mark>")))
         return F.concat(F.array_join(parts, ""), escaped(F.substr(t, F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)) + 1)))
 
     old = F.transform(F.array_sort(plan), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label")))

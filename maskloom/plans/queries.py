@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def found(df: DataFrame, detector: str, cfg: Config = CFG) -> DataFrame:
     """The spans of one detector, a row each."""
     df = text.step(df.select("id", "text"), "s", detect.detect("text", cfg, (detector,)))
-    return df.select("id", F.inline(F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("found"), s["label"].alias("label"), s["subtype"].alias("subtype"), s["attrs"]["normalized"].alias("normalized")))))
+    one = lambda s: text.record(start=s["start"], end=s["end"], found=s["text"], label=s["label"], subtype=s["subtype"], normalized=s["attrs"]["normalized"])
+    return df.select("id", F.inline(F.transform("s", one)))
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +198,8 @@ def document_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_spans(spark: SparkSession, d: str) -> DataFrame:
     """The greedy choice among spans made of order keys: of equal ranges, of one within another, touching, in chains."""
-    one = lambda m: F.struct(*((F.expr(v)).cast(t).alias(c) for (c, t), v in zip(shapes.MERGED_COLUMNS, m)), F.lit(None).cast("string").alias("subtype"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("entity_id"))
+    none = {"subtype": F.lit(None).cast("string"), "attrs": F.create_map().cast("map<string,string>"), "entity_id": F.lit(None).cast("string")}
+    one = lambda m: text.record(**{c: F.expr(v).cast(t) for (c, t), v in zip(shapes.MERGED_COLUMNS, m)}, **none)
     df = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(*map(one, shapes.MERGED)).cast(shapes.SPANS).alias("found"))
     return text.step(df, "spans", link.merged(F.col("found"), CFG)).select("id", F.inline("spans")).select("id", "start", "end", "label", "source")
 
@@ -213,7 +215,9 @@ def entity_tokens(spark: SparkSession, d: str) -> DataFrame:
 def pseudonym_kinds(spark: SparkSession, d: str) -> DataFrame:
     seed = keys.digest("PERSON", F.col("c_name"), F.lit("GLOBAL"), None)
     p = pseudonyms
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), p.person(F.lit("John O'Neil Jr."), seed).alias("person"), p.organisation(F.lit("Acme LLC"), seed).alias("org"), p.address(F.lit("123 Main St, Springfield, IL 62704"), seed).alias("address"), p.phone(F.lit("(650) 253-0000"), seed).alias("phone"), p.ssn(F.lit("123-45-6789"), seed).alias("ssn"), p.routing(F.lit("021000021"), seed).alias("routing"), p.date(F.lit("May 9, 1960"), seed).alias("date"), p.bic(F.lit("DEUTDEFF"), seed).alias("bic"))
+    made = {"person": (p.person, "John O'Neil Jr."), "org": (p.organisation, "Acme LLC"), "address": (p.address, "123 Main St, Springfield, IL 62704"), "phone": (p.phone, "(650) 253-0000")}
+    made |= {"ssn": (p.ssn, "123-45-6789"), "routing": (p.routing, "021000021"), "date": (p.date, "May 9, 1960"), "bic": (p.bic, "DEUTDEFF")}
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), *(make(F.lit(source), seed).alias(name) for name, (make, source) in made.items()))
 
 
 def match_case(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +344,8 @@ def stream_of_conversations(spark: SparkSession, d: str) -> DataFrame:
 def name_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Placeholders for customers, the same wherever the name stands."""
     seed = keys.digest("PERSON", F.col("c_name"), F.lit("GLOBAL"), None)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), pseudonyms.placeholder(F.lit("PERSON"), seed).alias("person"), pseudonyms.placeholder(F.lit("ACCOUNT_ID"), seed).alias("account"), pseudonyms.placeholder(F.lit("EMAIL"), seed).alias("email"), pseudonyms.placeholder(F.lit("PHONE"), seed).alias("phone"))
+    labels = {"person": "PERSON", "account": "ACCOUNT_ID", "email": "EMAIL", "phone": "PHONE"}
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), *(pseudonyms.placeholder(F.lit(label), seed).alias(name) for name, label in labels.items()))
 
 
 def metrics_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -61,4 +61,5 @@ def coverage(df: DataFrame, cfg: Config | None = None, id_col: str = "doc_id") -
     cfg = cfg or Config()
     out = step(df, "maskloom_before", F.size(F.filter(detect("norm", cfg), lambda s: s["confidence"] >= cfg.min_confidence)))
     before, left = F.col("maskloom_before"), F.col("report.residual_count")
-    return out.select(id_col, before.alias("found_before"), left.alias("residual_count"), F.greatest(before - left, F.lit(0)).alias("covered"), F.size("plan").alias("plan_size"), (F.col("norm") != F.col("redacted")).alias("changed"))
+    covered, changed = F.greatest(before - left, F.lit(0)), F.col("norm") != F.col("redacted")
+    return out.select(id_col, before.alias("found_before"), left.alias("residual_count"), covered.alias("covered"), F.size("plan").alias("plan_size"), changed.alias("changed"))

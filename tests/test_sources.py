@@ -103,3 +103,10 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr("maskloom.plans.redaction.applied", lambda text, plan: text)
     assert main([str(source), str(tmp_path / "out6"), "--config", str(leaky), "--strict"]) == 6
     assert main([str(source), str(tmp_path / "out7"), "--config", str(leaky), "--no-strict"]) == 0
+
+
+def test_leakage_over_time(spark):
+    rows = [("2024-01-01 00:01:00", (1, 3.0)), ("2024-01-01 00:09:00", (0, 0.0)), ("2024-01-01 00:11:00", (2, 5.0))]
+    df = spark.createDataFrame(rows, "at string, report struct<residual_count:int,score:double>").withColumn("at", F.to_timestamp("at"))
+    got = redaction.leakage_over_time(df, "at").orderBy("window").collect()
+    assert [(str(r.window.start), r.documents, r.residuals, r.score) for r in got] == [("2024-01-01 00:00:00", 2, 1, 3.0), ("2024-01-01 00:10:00", 1, 2, 5.0)]
