@@ -10,7 +10,8 @@ that share a prefix shingle are first verified against one of them, the pivot, a
 pivot is the most central node, whose prefix holds the most frequent shingles; those of later rounds are the most central nodes
 outside the largest component. Then every pair of nodes of different components that shares enough prefix shingles is verified:
 what is left out can't change the components. Per shingle these pairs are made from the nodes outside its largest component, so
-a large component adds no pairs.
+a large component adds no pairs; nodes of a frequent shingle meet by class of size, so that it doesn't bring together sets too unlike
+in size to link.
 
 Before texts are fetched, candidates are held against sketches: a bit for each hash value, the parity of the set's shingles that
 have it. Each shingle in one set alone changes one bit, so more unequal bits than a link allows rule the pair out for certain.
@@ -24,6 +25,7 @@ some 100 bytes for each word.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ VERIFY, MOST_MATCHES = 8.0, 4
 PIVOT_ROUNDS = 2
 #: Words of 64 bits of the short sketch that goes with postings, so that a join of postings already leaves most pairs out.
 WORDS = 4
+#: Nodes of a shingle above which they are dealt out by size in the last join.
+FREQUENT = 256
 #: The most bits of the filter by which texts are fetched: 2 MB. With more candidates it lets more rows through, to the join.
 FILTER_BITS = 1 << 24
 
@@ -287,9 +291,9 @@ def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
         return cut(postings.join(known, "node"), "labelled")
 
     def of_largest(now: DataFrame) -> DataFrame:
-        """The postings of shingles that stand in several components, and largest: the one with most of a shingle's nodes."""
+        """The postings of shingles that stand in several components; largest: the one with most of a shingle's nodes; total: of nodes."""
         sizes = now.groupBy("token", "component").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("x"), F.count("*").alias("k")).where("k > 1").select("token", F.col("x.component").alias("largest"))
+        largest = sizes.groupBy("token").agg(F.max(F.struct("c", "component")).alias("x"), F.count("*").alias("k"), F.sum("c").alias("total")).where("k > 1").select("token", F.col("x.component").alias("largest"), "total")
         return cut(now.join(largest, "token"), "mixed")
 
     fits = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
@@ -311,11 +315,14 @@ def joined(base: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFr
     short = [f"w{i}" for i in range(WORDS)]
     now = of_largest(labelled(roots, *short))
     side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(w).alias(f"{w}{x}") for w in short)]
-    outside = now.where("component <> largest").select("token", *side("a"))
-    inside = now.select("token", *side("b"), (F.col("component") == F.col("largest")).alias("big"))
+    # a frequent shingle's nodes are dealt out by size: sizes that may link are of one class or of neighbours
+    size_class, frequent = F.floor(F.log("n") / math.log(den / num * (1 + 1e-9))), F.col("total") > FREQUENT
+    classes = F.when(frequent, F.array(size_class - 1, size_class, size_class + 1)).otherwise(F.array(F.lit(0).cast("long")))
+    outside = now.where("component <> largest").select("token", F.explode(classes).alias("class"), *side("a"))
+    inside = now.select("token", F.when(frequent, size_class).otherwise(0).alias("class"), *side("b"), (F.col("component") == F.col("largest")).alias("big"))
     apart = sum((F.bit_count(F.col(f"{w}a").bitwiseXOR(F.col(f"{w}b"))) for w in short), F.lit(0))
     near = apart <= F.col("na") + F.col("nb") - 2 * F.expr(f"((na + nb) * {num} + {num + den - 1}) div {num + den}")
-    both = outside.join(inside, (outside["token"] == inside["token"]) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & near)
+    both = outside.join(inside, (outside["token"] == inside["token"]) & (outside["class"] == inside["class"]) & (F.col("ca") != F.col("cb")) & (F.col("big") | (F.col("a") < F.col("b"))) & fits(F.col("na"), F.col("nb")) & near)
     pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.unionByName(verified(pairs, base, nodes, k, num, den))
     discard(base.sparkSession, now)

@@ -58,8 +58,9 @@ def corpus(rng, n):
     return out + ["", None, " \t", "one", "one", "ONE", "one two", "two one", out[3], out[3].upper()]
 
 
-@pytest.mark.parametrize("k, num, den, seed", [(3, 90, 100, 1), (2, 75, 100, 4)])
-def test_against_all_pairs(spark, k, num, den, seed):
+@pytest.mark.parametrize("k, num, den, seed, frequent", [(3, 90, 100, 1, 256), (2, 75, 100, 4, 3), (3, 100, 100, 5, 0)])
+def test_against_all_pairs(spark, monkeypatch, k, num, den, seed, frequent):
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rng = random.Random(seed)
     texts = corpus(rng, 60)
     rng.shuffle(texts)
