@@ -64,7 +64,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_licenses": op1_licenses, "op2_quality": op2_quality, "op3_lines": op3_lines, "op4_substrings": op4_substrings, "op8_secrets": op8_secrets, "op5_bpe": op5_bpe, "op6_winnowing": op6_winnowing, "op7_packing": op7_packing, "op9_jaccard": op9_jaccard, "op10_warc": op10_warc}
+_ALL = (op1_licenses, op2_quality, op3_lines, op4_substrings, op8_secrets, op5_bpe, op6_winnowing, op7_packing, op9_jaccard, op10_warc)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: White space that ends a word, as a class of DuckDB's patterns.
 _SPACE = r"[\x20\x09-\x0D]"
@@ -97,16 +98,18 @@ from d left join b using (doc_id) left join a using (doc_id)
 
 def _secret_sql() -> str:
     """Matches of each kind with their places, the owners and repositories of each value, and what they say of it."""
-    kinds = {"assign": (secrets.ASSIGN, f"length(value) >= {secrets.LEAST_VALUE}"), "access": (secrets.ACCESS, "true"), "hex": (secrets.HEX, "true"), "url": (secrets.URL, "true"), "key": (secrets.KEY, "true"), "jwt": (secrets.JWT, "true"), "pem": (secrets.PEM, "true"), "mixed": (secrets.MIXED, "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]')")}
+    patterns = (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.URL, secrets.KEY, secrets.JWT, secrets.PEM, secrets.MIXED)
+    rules = {"assign": f"length(value) >= {secrets.LEAST_VALUE}", "mixed": " and ".join(f"regexp_matches(value, '{c}')" for c in ("[0-9]", "[A-Z]", "[a-z]"))}
     parts = []
-    for kind, (pattern, rule) in kinds.items():
+    for kind, pattern in zip(secrets.KINDS, patterns):
+        rule = rules.get(kind, "true")
         rx = pattern.replace("'", "''")
         value = f"regexp_extract(found, '{rx}', 2)" if kind == "assign" else "found"
         parts.append(rf"""
 m_{kind} as (select doc_id, owner, regexp_extract_all(text, '{rx}') as m, regexp_split_to_array(text, '{rx}') as g from d where regexp_matches(text, '{rx}')),
 e_{kind} as (select doc_id, owner, m[i] as found, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::bigint as s from m_{kind}, unnest(generate_series(1, len(m))) as u(i)),
 s_{kind} as (select * from (select doc_id, owner, '{kind}' as kind, {secrets.KINDS.index(kind)} as rank, s, s + length(found) as e, {value} as value from e_{kind}) where {rule})""")
-    every = " union all ".join(f"select * from s_{kind}" for kind in kinds)
+    every = " union all ".join(f"select * from s_{kind}" for kind in secrets.KINDS)
     count = lambda kind: f"count(*) filter (where kind = '{kind}') as n_{kind}"
     shown = lambda what, rule: f"coalesce(string_agg({what}, ',' order by s, rank, e) filter (where {rule}), '')"
     place = "kind || ':' || s || ':' || e"
