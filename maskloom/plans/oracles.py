@@ -343,7 +343,7 @@ from a group by rollup(label)""",
     "residual_scan": f"""
 with {positions(_DOCS, _EMAIL)},
 c as (select id, count(*) as n, count(*) filter (where lower(split_part(found, '@', 2)) in ({_SAFE})) as safe from p group by id)
-select doc_id, coalesce(n, 0) as total_found, coalesce(safe, 0) as total_ignored, coalesce(n - safe, 0) as residual_count, 3.0 * coalesce(n - safe, 0) as score from documents left join c on c.id = doc_id
+select doc_id, coalesce(n, 0) as total_found, coalesce(safe, 0) as total_ignored, coalesce(n - safe, 0) as residual_count, (3 * coalesce(n - safe, 0))::double as score from documents left join c on c.id = doc_id
 """,
     "email_diff": f"""{_REBUILT} select id as doc_id, sha256({page("text", "redacted")}) as html_sha256 from v""",
     "email_coverage": f"{_REBUILT} select id as doc_id, len(l) as found_before, 0 as residual_count, len(l) as covered, len(l) as plan_size, text <> redacted as changed from v",
