@@ -86,10 +86,11 @@ def sums_before(a: Column) -> Column:
         totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, v: s + v))
         return let(within(totals), lambda base: F.flatten(F.transform(blocks, lambda b, j: F.transform(within(b), lambda v: v + F.get(base, j)))))
 
-    return F.when(F.size(a) > 0, let(in_blocks(a), joined)).otherwise(empty("array<int>"))
+    return let(a, lambda v: F.when(F.size(v) > 0, let(in_blocks(v), joined)).otherwise(empty("array<int>")))
 
 
 def in_blocks(a: Column) -> Column:
+    """An array as arrays of BLOCK elements. a must be a value (see let): an expression would be computed for every block."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda j: F.slice(a, j * BLOCK + 1, BLOCK))
 
 
@@ -108,7 +109,7 @@ def folded(a: Column, start: Column, step: Callable[[Column, Column], Column], k
         joined = lambda acc, r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))
         return F.flatten(F.aggregate(blocks, begin, lambda acc, b: let(within(acc["state"], b), lambda r: joined(acc, r)), lambda acc: acc["out"]))
 
-    return F.when(F.size(a) > 0, let(in_blocks(a), over)).otherwise(empty(f"array<{kind}>"))
+    return let(a, lambda v: F.when(F.size(v) > 0, let(in_blocks(v), over)).otherwise(empty(f"array<{kind}>")))
 
 
 def matches(text: Column, pattern: Column | str) -> Column:

@@ -207,7 +207,9 @@ def merged(spans: Column, cfg: Config) -> Column:
     def of(ss: Column) -> Column:
         reach = folded(F.transform(ss, lambda s: s["end"]), F.lit(0), lambda r, end: F.struct(F.greatest(r, end).alias("state"), r.alias("out")), "int")
         heads = lambda ends: F.filter(F.transform(ss, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ends, i)), i)), lambda i: i.isNotNull())
-        groups = lambda hs: F.transform(hs, lambda h, j: F.slice(ss, h + 1, F.coalesce(F.get(hs, j + 1), F.size(ss)) - h))
+        # element by element: a slice would copy the whole array for each group
+        group = lambda hs, h, j: F.transform(F.sequence(h, F.coalesce(F.get(hs, j + 1), F.size(ss)) - 1), lambda i: F.get(ss, i))
+        groups = lambda hs: F.transform(hs, lambda h, j: group(hs, h, j))
         return let(reach, lambda ends: let(heads(ends), lambda hs: F.flatten(F.transform(groups(hs), lambda g: let(g, chosen)))))
 
     return F.coalesce(let(by_start(F.filter(spans, lambda s: s["end"] > s["start"])), of), empty(SPANS))

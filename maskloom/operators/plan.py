@@ -75,12 +75,12 @@ def planned(spans: Column, scope: Column, cfg: Config) -> Column:
 def checked(text: Column, plan: Column) -> Column:
     """The plan in order of start; an error where entries overlap or lie outside of the text."""
 
-    def of(e: Column) -> Column:
-        bad = F.exists(e, lambda x: (x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > F.length(text)))
+    def of(e: Column, length: Column) -> Column:
+        bad = F.exists(e, lambda x: (x["start"] < 0) | (x["end"] <= x["start"]) | (x["end"] > length))
         meet = F.exists(F.transform(e, lambda x, i: F.coalesce(overlaps(F.get(e, i - 1), x), F.lit(False))), lambda x: x)
         return F.when(bad, F.raise_error(F.lit("a plan entry lies outside of the text"))).when(meet, F.raise_error(F.lit("plan entries overlap"))).otherwise(e)
 
-    return let(F.array_sort(plan), of)
+    return let(F.length(text), lambda length: let(F.array_sort(plan), lambda e: of(e, length)))
 
 
 def new_starts(plan: Column) -> Column:
@@ -100,7 +100,7 @@ def applied(text: Column, plan: Column) -> Column:
         # a block of entries is cut out of its own stretch of the text: to count from the front for each entry would be quadratic
         pieces = F.transform(e, lambda x, i: F.struct(F.coalesce(F.get(e, i - 1)["end"], F.lit(0)).alias("from"), x["start"].alias("start"), x["replacement"].alias("new")))
         reach = lambda b: F.substr(text, F.element_at(b, 1)["from"] + 1, F.element_at(b, -1)["start"] - F.element_at(b, 1)["from"])
-        parts = F.transform(in_blocks(pieces), lambda b: let(reach(b), lambda t: stretch(t, b)))
+        parts = let(pieces, lambda ps: F.transform(in_blocks(ps), lambda b: let(reach(b), lambda t: stretch(t, b))))
         return F.concat(F.array_join(parts, ""), F.substr(text, F.element_at(e, -1)["end"] + 1))
 
     def done(e: Column) -> Column:

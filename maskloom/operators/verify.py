@@ -107,8 +107,9 @@ def audit_entries(df: DataFrame, id_col: str = "doc_id", plan_col: str = "plan")
     return at.select(
         id_col,
         F.format_string("r%04d", F.col("i") + 1).alias("id"),
+        *(entry[c].alias(c) for c in ("start", "end")),
         F.col("x.at").alias("new_start"),
-        *(entry[c].alias(c) for c in ("start", "end", "label", "source", "subtype", "entity_id")),
+        *(entry[c].alias(c) for c in ("label", "source", "subtype", "entity_id")),
         *(entry[c].alias(name) for c, name in renamed.items()),
         (F.length(entry["replacement"]) - entry["end"] + entry["start"]).alias("length_delta"),
     )
@@ -118,8 +119,13 @@ def audit_summary(entries: DataFrame, *by: str) -> DataFrame:
     """Counts by label and in all (label null): entries, differences in length, kept ones, draws that were rejected for safety and
     entries with such. by: columns to keep apart. No entries, no row."""
     groups = entries.groupingSets([[*by, "label"], [*by]], *by, "label")
-    sums = [F.sum(c).alias(c) for c in ("length_delta", "safety_retries")]
-    return groups.agg(F.count("*").alias("entries"), *sums, F.count_if("skip_replacement").alias("kept"), F.count_if(F.col("safety_retries") > 0).alias("retried"))
+    return groups.agg(
+        F.count("*").alias("entries"),
+        F.sum("length_delta").alias("length_delta"),
+        F.count_if("skip_replacement").alias("kept"),
+        F.sum("safety_retries").alias("safety_retries"),
+        F.count_if(F.col("safety_retries") > 0).alias("retried"),
+    )
 
 
 def document_audit(df: DataFrame, secret: str | None, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from maskloom.plans import queries
 DATA = "/root/testdata/sf0.001"
 QUICK = [
     "normalize_text", "email_attrs", "phone_spans", "account_spans", "card_scheme_counts", "ssn_ein_spans", "bic_spans", "aba_spans", "generic_id_spans", "iban_valid", "generic_dates", "dob_spans", "bank_spans",
-    "address_lines", "address_blocks", "guard_filter", "name_spans", "document_names", "name_scores", "heading_ranges", "merge_spans", "entity_tokens", "match_case", "shaped", "residual_scan", "metrics_summary", "metrics_confusion",
+    "address_lines", "address_blocks", "guard_filter", "name_spans", "document_names", "name_scores", "merge_spans", "entity_tokens", "match_case", "shaped", "residual_scan", "metrics_summary", "metrics_confusion",
 ]
 
 
