@@ -70,15 +70,19 @@ def draw(seed: Column, i: Column | int, n: int | Column) -> Column:
 
 def digits(seed: Column, n: Column, first: int = 0) -> Column:
     """n decimal digits drawn from a seed."""
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: draw(seed, i + first, 10).cast("string")), "")).otherwise(F.lit(""))
+    drawn = lambda s: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: draw(s, i + first, 10).cast("string")), "")
+    return F.when(n > 0, let(seed, drawn)).otherwise(F.lit(""))
 
 
 def poured(source: Column, fill: Column) -> Column:
     """The digits of fill in place of the source's, one by one; zeros when they run out."""
-    chars = F.split(source, "")
-    before = lambda i: F.length(F.regexp_replace(F.substr(source, F.lit(1), i), "[^0-9]", ""))
-    digit = lambda i: F.coalesce(F.nullif(F.substr(fill, before(i) + 1, F.lit(1)), F.lit("")), F.lit("0"))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), digit(i)).otherwise(c)), "")
+
+    def of(whole: Column) -> Column:
+        before = lambda i: F.length(F.regexp_replace(F.substr(source, F.lit(1), i), "[^0-9]", ""))
+        digit = lambda i: let(F.substr(whole, before(i) + 1, F.lit(1)), lambda d: F.coalesce(F.nullif(d, F.lit("")), F.lit("0")))
+        return F.array_join(F.transform(F.split(source, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), digit(i)).otherwise(c)), "")
+
+    return let(fill, of)
 
 
 def luhn_valid(s: Column) -> Column:
@@ -87,7 +91,7 @@ def luhn_valid(s: Column) -> Column:
 
 def luhn_completed(prefix: Column) -> Column:
     """The prefix with the digit that makes it pass the Luhn check."""
-    return F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(prefix, d.cast("string"))), luhn_valid), 1)
+    return let(prefix, lambda p: F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(p, d.cast("string"))), luhn_valid), 1))
 
 
 def weighted(s: Column, weights: list[int]) -> Column:
@@ -100,7 +104,7 @@ def aba_valid(s: Column) -> Column:
 
 
 def aba_completed(eight: Column) -> Column:
-    return F.concat(eight, F.pmod(10 - F.pmod(weighted(eight, [3, 7, 1, 3, 7, 1, 3, 7]), F.lit(10)), F.lit(10)).cast("string"))
+    return let(eight, lambda e: F.concat(e, F.pmod(10 - F.pmod(weighted(e, [3, 7, 1, 3, 7, 1, 3, 7]), F.lit(10)), F.lit(10)).cast("string")))
 
 
 def mod97(s: Column) -> Column:
@@ -115,5 +119,5 @@ def iban_valid(compact: Column) -> Column:
 
 
 def iban_completed(country: Column, body: Column) -> Column:
-    check = 98 - mod97(F.concat(body, country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+    check = lambda b: 98 - mod97(F.concat(b, country, F.lit("00")))
+    return let(body, lambda b: F.concat(country, F.lpad(check(b).cast("string"), 2, "0"), b))

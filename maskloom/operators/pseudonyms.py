@@ -122,6 +122,11 @@ def ssn(source: Column, seed: Column) -> Column:
 def date(source: Column, seed: Column) -> Column:
     """A day of 1930 to 2005 in the form of the source; what is no date stays."""
     day = F.make_date(1930 + keys.draw(seed, 1, 76), 1 + keys.draw(seed, 2, 12), 1 + keys.draw(seed, 3, 28))
+    return F.when(date_of(source).isNull(), source).otherwise(let(day, lambda d: dated(source, d)))
+
+
+def dated(source: Column, day: Column) -> Column:
+    """A day in the form of the source."""
     month = F.when(source.rlike(r"\p{L}{4,}|\b[Mm]ay\b"), F.date_format(day, "MMMM")).otherwise(F.date_format(day, "MMM"))
     cased = match_case(F.regexp_extract(source, r"\p{L}{3,}", 0), month)
     number = F.dayofmonth(day).cast("string")
@@ -133,7 +138,7 @@ def date(source: Column, seed: Column) -> Column:
         (r"^\p{L}", named),
         (r"^\d{1,2}(?:st|nd|rd|th)?\s", F.concat_ws(" ", number, cased, F.year(day).cast("string"))),
     ]
-    return F.when(date_of(source).isNull(), source).otherwise(F.coalesce(*(F.when(source.rlike(rx), v) for rx, v in forms), source))
+    return F.coalesce(*(F.when(source.rlike(rx), v) for rx, v in forms), source)
 
 
 def digits(source: Column, seed: Column) -> Column:

@@ -213,11 +213,15 @@ def entity_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pseudonym_kinds(spark: SparkSession, d: str) -> DataFrame:
-    seed = keys.digest("PERSON", F.col("c_name"), F.lit("GLOBAL"), None)
-    p = pseudonyms
+    df = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:  # a small file is one task, and to draw takes far longer than to deal the rows out
+        df = df.repartition(2 * cores)
+    df = text.step(df, "seed", keys.digest("PERSON", F.col("c_name"), F.lit("GLOBAL"), None))
+    seed, p = F.col("seed"), pseudonyms
     made = {"person": (p.person, "John O'Neil Jr."), "org": (p.organisation, "Acme LLC"), "address": (p.address, "123 Main St, Springfield, IL 62704"), "phone": (p.phone, "(650) 253-0000")}
     made |= {"ssn": (p.ssn, "123-45-6789"), "routing": (p.routing, "021000021"), "date": (p.date, "May 9, 1960"), "bic": (p.bic, "DEUTDEFF")}
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), *(make(F.lit(source), seed).alias(name) for name, (make, source) in made.items()))
+    return df.select("id", *(make(F.lit(source), seed).alias(name) for name, (make, source) in made.items()))
 
 
 def match_case(spark: SparkSession, d: str) -> DataFrame:

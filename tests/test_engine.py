@@ -276,3 +276,10 @@ def test_evaluation_of_texts(spark):
     s = {r.average: r for r in evaluate.summary(evaluate.prf(evaluate.evaluated(df)).where("label is null or label in ('EMAIL', 'PHONE')")).collect()}
     assert s["macro"].f1 == 1.0 and 0 < s["micro"].f1 <= 1
     assert "ACCOUNT_ID" in {r.gold_label for r in evaluate.confusion(evaluate.evaluated(df)).collect()}
+
+
+def test_drawn_values_are_made_once(spark):
+    """An expression repeated in a lambda is computed for each element: what is drawn must stand once in what is built."""
+    seed = F.col("seed")
+    made = {"routing": pseudonyms.routing(F.lit("021000021"), seed), "phone": pseudonyms.phone(F.lit("(650) 253-0000"), seed), "date": pseudonyms.date(F.lit("May 9, 1960"), seed)}
+    assert {name: str(c).count("sha2(") for name, c in made.items()} == {"routing": 2, "phone": 7, "date": 3}
